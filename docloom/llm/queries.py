@@ -73,9 +73,9 @@ WITH RECURSIVE words AS (
   FROM words
 ), items AS (SELECT doc_id, len(s) AS n, unnest(s) AS v FROM sets),
 common AS (
-  SELECT x.doc_id AS a, y.doc_id AS b, x.n AS na, y.n AS nb, count(*) AS both
+  SELECT x.doc_id AS a, y.doc_id AS b, x.n AS na, y.n AS nb, count(*) AS shared
   FROM items x JOIN items y ON x.v = y.v AND x.doc_id < y.doc_id GROUP BY ALL
-), links AS (SELECT a, b FROM common WHERE 100 * both >= 80 * (na + nb - both)),
+), links AS (SELECT a, b FROM common WHERE 100 * shared >= 80 * (na + nb - shared)),
 edges AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
 reach(doc_id, at) AS (
   SELECT doc_id, doc_id FROM documents
