@@ -1,8 +1,9 @@
 """Links of similar sets without all pairs of a group: candidate lists, verification and components.
 
-Lists of items that share a rare key are compared inside tasks on sketches. A first round sends on only a
-spanning forest of each list, so a group of n near copies yields n - 1 pairs and not n * n; after these are
-verified, a second round compares what lies in different components exhaustively. No partner is capped.
+Lists of items that share a rare key are compared inside tasks on sketches. Sets that fit the sketch are decided there
+exactly, larger ones by an estimate. A first round sends on only a spanning forest of each list, exact links before
+estimated ones, so a group of n near copies yields n - 1 pairs and not n * n. After these are verified, a second round
+compares exhaustively the larger sets that lie in different components. No partner is capped.
 A list of more than BLOCK items is dealt out as pairs of blocks, so no task holds a whole hot list.
 """
 
@@ -50,7 +51,7 @@ def _overlaps(sketches: np.ndarray, owners: np.ndarray, count: int) -> np.ndarra
     return total
 
 
-def _list_pairs(group: pa.Table, rule: Callable, confirm: Callable, every: bool) -> Iterator[tuple[int, int]]:
+def _list_pairs(group: pa.Table, rule: Callable, confirm: Callable, exact_size: int, every: bool) -> Iterator[tuple[int, int]]:
     nodes = group.column("node").to_numpy()
     nodes, first = np.unique(nodes, return_index=True)
     if len(nodes) < 2:
@@ -72,7 +73,10 @@ def _list_pairs(group: pa.Table, rule: Callable, confirm: Callable, every: bool)
     fits = rule(sizes[left], sizes[right], common) & (comps[left] != comps[right])
     if i != j:
         fits &= own[left] != own[right]
-    left, right, common = left[fits], right[fits], common[fits]
+    large = np.maximum(sizes[left], sizes[right]) > exact_size
+    if every:
+        fits &= large  # smaller pairs were decided in the first round
+    left, right, common, large = left[fits], right[fits], common[fits], large[fits]
     if every:
         for a, b in zip(left.tolist(), right.tolist(), strict=True):
             if confirm(sketches[a], sketches[b], sizes[a], sizes[b]):
@@ -86,7 +90,7 @@ def _list_pairs(group: pa.Table, rule: Callable, confirm: Callable, every: bool)
             x = above[x]
         return x
 
-    order = np.argsort(-common / (sizes[left] + sizes[right]), kind="stable")
+    order = np.lexsort((-common / (sizes[left] + sizes[right]), large))
     for a, b in zip(left[order].tolist(), right[order].tolist(), strict=True):
         p, q = top(a), top(b)
         if p != q and confirm(sketches[a], sketches[b], sizes[a], sizes[b]):
@@ -94,14 +98,14 @@ def _list_pairs(group: pa.Table, rule: Callable, confirm: Callable, every: bool)
             yield int(nodes[a]), int(nodes[b])
 
 
-def list_pairs(entries: DataFrame, rule: Callable, confirm: Callable, every: bool) -> DataFrame:
+def list_pairs(entries: DataFrame, rule: Callable, confirm: Callable, exact_size: int, every: bool) -> DataFrame:
     """Candidate pairs (a < b) of blocked entries (key, i, j, own, node, n, comp, sketch: little-endian uint32)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a: list[int] = []
         b: list[int] = []
         for group in in_groups(batches, ["key", "i", "j"]):
-            for x, y in _list_pairs(group, rule, confirm, every):
+            for x, y in _list_pairs(group, rule, confirm, exact_size, every):
                 a.append(x)
                 b.append(y)
             if len(a) > 20_000:
@@ -162,20 +166,21 @@ def components(edges: DataFrame, cuts: Cuts) -> DataFrame:
     return labels
 
 
-def linked(entries: DataFrame, rule: Callable, confirm: Callable, sets: DataFrame, percent: int, cuts: Cuts) -> tuple[DataFrame, DataFrame]:
-    """Verified edges and components of entries (key, cnt, node, n, sketch)."""
-    first = cuts.cut(list_pairs(blocked(entries.withColumn("comp", F.col("node"))), rule, confirm, every=False))
+def linked(entries: DataFrame, rule: Callable, confirm: Callable, exact_size: int, sets: DataFrame, percent: int, cuts: Cuts) -> DataFrame:
+    """(node, comp) of entries (key, cnt, node, n, sketch); nodes without a link may be missing.
+
+    rule and confirm must be exact for pairs of sets of at most exact_size items, and may not refuse a linked pair."""
+    first = cuts.cut(list_pairs(blocked(entries.withColumn("comp", F.col("node"))), rule, confirm, exact_size, every=False))
     edges = cuts.cut(verified(first, sets, percent))
     labels = components(edges, cuts)
     marked = entries.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    mixed_keys = marked.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most"))
-    open_keys = mixed_keys.filter("least <> most").select("key")
-    rest = list_pairs(blocked(marked.join(open_keys, "key", "left_semi")), rule, confirm, every=True)
+    by_key = marked.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.max("n").alias("largest"))
+    open_keys = by_key.filter((F.col("least") != F.col("most")) & (F.col("largest") > exact_size)).select("key")
+    rest = list_pairs(blocked(marked.join(open_keys, "key", "left_semi")), rule, confirm, exact_size, every=True)
     untested = cuts.cut(rest.join(first, ["a", "b"], "left_anti"))
     more = cuts.cut(verified(untested, sets, percent))
     cuts.drop(untested, first)
     if more.isEmpty():
-        return edges, labels
+        return labels
     cuts.drop(labels)
-    edges = edges.union(more)
-    return edges, components(edges, cuts)
+    return components(edges.union(more), cuts)

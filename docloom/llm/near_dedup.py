@@ -4,12 +4,13 @@ A document's set holds the distinct word shingles of its whole text: bytes A-Z l
 white space; a text of fewer words is one shingle; a null, empty or blank text has no set and links with nothing.
 One 64-bit hash orders all shingles, and a document retains its k smallest. Documents with equal sets form one
 class before anything is compared. Inverted lists of retained values generate candidates: two sets of similarity
-0.8 share at least `least_overlap(k)` retained values (all but about 1e-5 of borderline pairs for large sets, always
-for sets within the sketch), so by the pigeonhole principle they share one of the `k - least + 1` rarest, and only
-those lists are read; common passages are among a document's frequent values and rarely make a list.
-Inside a list, the number of shared values and then the estimate on the union's bottom-k reject pairs; the exact
-Jaccard similarity of the full sets confirms each link. Null ids: the row is kept and belongs to no component.
-Rows with equal doc_id count as copies of one id when their texts link. Extra columns are ignored.
+0.8 share at least `least_overlap` retained values (all but about 1e-5 of borderline pairs of large sets, always for
+sets within the sketch), so by the pigeonhole principle they share one of the `k - least + 1` rarest, and only those
+lists are read; common passages are among a document's frequent values and rarely make a list.
+Inside a list sets of at most EXACT shingles are compared whole; of larger ones the EXACT smallest shingles estimate
+the similarity on the bottom of the union. The exact Jaccard similarity of the full sets confirms each link.
+Null ids: the row is kept and belongs to no component. Rows with equal doc_id count as copies of one id when their
+texts link. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,22 +21,31 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.common import Cuts, WordHashes, column, prepare, rows, shingle_set, signed, utf8
 from docloom.llm.linkage import linked
 
-_SKETCHED = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("retained", pa.list_(pa.int64())), ("sketch", pa.binary())])
-_SETS = pa.schema([("node", pa.int64()), ("items", pa.binary())])
+EXACT = 512
+_SKETCHED = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("retained", pa.list_(pa.int64()))])
+_SETS = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("items", pa.binary()), ("sketch", pa.binary())])
 
 
 def least_overlap(k: int, percent: int = 80) -> int:
-    """Retained values that sets of that similarity share: the mean less 4.4 standard deviations."""
+    """Values that the k-sketches of large sets of that similarity share: the mean less 4.4 standard deviations."""
     p = percent / 100
     return max(1, math.floor(k * p - 4.4 * math.sqrt(k * p * (1 - p))))
 
 
+def least_overlap_of(n: Column, k: int, percent: int) -> Column:
+    """The same for a set of n > 0.8 k items, whose union with a linked set has at most n / 0.8: a finite population."""
+    p = percent / 100
+    union = n / F.lit(p)
+    deviation = F.sqrt(F.lit(k * p * (1 - p)) * F.greatest(union - F.lit(k), F.lit(0.0)) / F.greatest(union - F.lit(1), F.lit(1.0)))
+    return F.floor(F.lit(k * p) - F.lit(4.4) * deviation)
+
+
 def node_of(items: np.ndarray) -> int:
     return signed(xxhash.xxh3_64_intdigest(items.tobytes()))
 
@@ -44,41 +54,40 @@ def sketched(docs: DataFrame, k: int, words: int) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            ns, nodes, retained, sketches = [], [], [], []
+            ns, nodes, retained = [], [], []
             for text in utf8(batch, "text"):
                 items = shingle_set(hashes.of(text.lower().split()), words) if text else np.empty(0, np.uint64)
                 ns.append(len(items))
                 nodes.append(node_of(items))
                 retained.append(items[:k].view(np.int64))
-                sketches.append((items[:k] >> np.uint64(32)).astype("<u4").tobytes())
-            yield rows(_SKETCHED, doc_id=column(batch, "doc_id"), n=ns, node=nodes, retained=retained, sketch=sketches)
+            yield rows(_SKETCHED, doc_id=column(batch, "doc_id"), n=ns, node=nodes, retained=retained)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, "doc_id long, n long, node long, retained array<long>, sketch binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, "doc_id long, n long, node long, retained array<long>")
 
 
 def full_sets(docs: DataFrame, words: int) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            nodes, sets = [], []
+            nodes, ns, sets, sketches = [], [], [], []
             for text in utf8(batch, "text"):
                 items = shingle_set(hashes.of(text.lower().split()), words) if text else np.empty(0, np.uint64)
                 nodes.append(node_of(items))
+                ns.append(len(items))
                 sets.append(items.tobytes())
-            yield rows(_SETS, node=nodes, items=sets)
+                sketches.append((items[:EXACT] >> np.uint64(32)).astype("<u4").tobytes())
+            yield rows(_SETS, node=nodes, n=ns, items=sets, sketch=sketches)
 
-    return docs.select("text").mapInArrow(work, "node long, items binary")
+    return docs.select("text").mapInArrow(work, "node long, n long, items binary, sketch binary")
 
 
 def near_duplicates(docs: DataFrame, k: int = 96, words: int = 4, percent: int = 80) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable), kept."""
     spark = prepare(docs.sparkSession)
     cuts = Cuts(spark, "near-dedup")
-    least = least_overlap(k, percent)
     sketches = cuts.cut(sketched(docs, k, words))
-    reps = cuts.cut(
-        sketches.filter("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("retained").alias("retained"), F.first("sketch").alias("sketch"))
-    )
+    grouped = sketches.filter("n > 0 and doc_id is not null").groupBy("node")
+    reps = cuts.cut(grouped.agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("retained").alias("retained")))
     members = cuts.cut(sketches.select("doc_id", "n", "node"))
     cuts.drop(sketches)
 
@@ -87,29 +96,33 @@ def near_duplicates(docs: DataFrame, k: int = 96, words: int = 4, percent: int =
     by_node = shared.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("cnt", "key"))).alias("shared"))
     # Values that nobody else retains come first in the order by frequency, so they use up the prefix first.
     kept_values = F.least(F.col("n"), F.lit(k))
-    prefix = F.when(F.col("n") <= F.lit(k * percent // 100), F.col("n") - F.ceil(F.col("n") * F.lit(percent) / F.lit(100)) + 1).otherwise(kept_values - F.lit(least) + 1)
+    exact_prefix = F.col("n") - F.ceil(F.col("n") * F.lit(percent) / F.lit(100)) + 1
+    prefix = F.when(F.col("n") <= F.lit(k * percent // 100), exact_prefix).otherwise(kept_values - least_overlap_of(F.col("n"), k, percent) + 1)
     room = (prefix - (kept_values - F.size("shared"))).cast("int")
-    listed = by_node.join(reps.select("node", "n", "sketch"), "node").withColumn("room", room).filter("room > 0")
-    listed = listed.select("node", "n", "sketch", F.explode(F.slice("shared", F.lit(1), F.col("room"))).alias("e"))
-    entries = cuts.cut(listed.select(F.col("e.key").alias("key"), F.col("e.cnt").alias("cnt"), "node", "n", "sketch"))
+    listed = by_node.join(reps.select("node", "n", "rep"), "node").withColumn("room", room).filter("room > 0")
+    listed = cuts.cut(listed.select("node", "rep", F.explode(F.slice("shared", F.lit(1), F.col("room"))).alias("e")).select("node", "rep", "e.key", "e.cnt"))
+    lists = listed.groupBy("key").agg(F.count("*").alias("cnt")).filter("cnt > 1")
+    listed = listed.drop("cnt").join(lists, "key")
 
-    wanted = entries.select("node").distinct().join(reps.select("node", "rep"), "node").select(F.col("rep").alias("doc_id"))
-    sets = cuts.cut(full_sets(docs.join(wanted.distinct(), "doc_id", "left_semi"), words).dropDuplicates(["node"]))
+    wanted = listed.select(F.col("rep").alias("doc_id")).distinct()
+    sets = cuts.cut(full_sets(docs.join(wanted, "doc_id", "left_semi"), words).dropDuplicates(["node"]))
+    entries = cuts.cut(listed.select("key", "cnt", "node").join(sets.select("node", "n", "sketch"), "node"))
+    least = least_overlap(EXACT, percent)
 
     def rule(n_a: np.ndarray, n_b: np.ndarray, common: np.ndarray) -> np.ndarray:
         exact = 100 * common >= percent * (n_a + n_b - common)
         size = 100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b)
-        return np.where((n_a <= k) & (n_b <= k), exact, size & (common >= least))
+        return np.where((n_a <= EXACT) & (n_b <= EXACT), exact, size & (common >= least))
 
     def confirm(a: np.ndarray, b: np.ndarray, n_a: int, n_b: int) -> bool:
-        if n_a <= k and n_b <= k:
+        if n_a <= EXACT and n_b <= EXACT:
             return True
         both = np.sort(np.concatenate([a, b]))
         twice = both[1:] == both[:-1]
-        ranks = np.arange(len(both) - 1) - np.cumsum(twice)  # how many distinct union values stand before
-        return int(np.count_nonzero(twice & (ranks < k - 1))) >= least
+        ranks = np.arange(len(both) - 1) - np.cumsum(twice)  # one less than the distinct union values before
+        return int(np.count_nonzero(twice & (ranks < EXACT - 1))) >= least
 
-    _, labels = linked(entries, rule, confirm, sets, percent, cuts)
+    labels = linked(entries, rule, confirm, EXACT, sets, percent, cuts)
     reach = labels.join(reps.select("node", "rep"), "node")
     smallest = reach.groupBy("comp").agg(F.min("rep").alias("component_id"))
     of_node = reps.select("node", "rep").join(labels, "node", "left").join(smallest, "comp", "left")

@@ -77,10 +77,10 @@ common AS (
   FROM items x JOIN items y ON x.v = y.v AND x.doc_id < y.doc_id GROUP BY ALL
 ), links AS (SELECT a, b FROM common WHERE 100 * shared >= 80 * (na + nb - shared)),
 edges AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
-reach(doc_id, at) AS (
+reach(doc_id, via) AS (
   SELECT doc_id, doc_id FROM documents
-  UNION SELECT r.doc_id, e.b FROM reach r JOIN edges e ON r.at = e.a
-), comp AS (SELECT doc_id, min(at) AS component_id FROM reach GROUP BY doc_id)
+  UNION SELECT r.doc_id, e.b FROM reach r JOIN edges e ON r.via = e.a
+), comp AS (SELECT doc_id, min(via) AS component_id FROM reach GROUP BY doc_id)
 SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, c.component_id, s.doc_id = c.component_id AS kept
 FROM sets s JOIN comp c USING (doc_id)""",
     "op8_decontaminate": rf"""
