@@ -63,8 +63,9 @@ _HASHED = pa.schema([("id", pa.int64()), ("mark", pa.int64()), ("chunk", pa.int3
 _BYTES = pa.schema([("id", pa.int64()), ("mark", pa.int64()), ("chunk", pa.int32()), ("body", pa.binary())])
 
 
-def line_deduplicated(docs: DataFrame) -> DataFrame:
-    """docs with the repeated chunks cut from text, and columns n_lines, n_chunks, n_removed, bytes_removed."""
+def line_deduplicated(docs: DataFrame, prefix: str = "") -> DataFrame:
+    """docs with the repeated chunks cut from text, and columns n_lines, n_chunks, n_removed, bytes_removed, each after
+    the prefix; a column of docs that has such a name stays as it is and the new one is left out."""
     spark = prepare(docs.sparkSession)
     cuts = Cuts(spark, "line-dedup")
     keyed = docs.select(
@@ -128,5 +129,5 @@ def line_deduplicated(docs: DataFrame) -> DataFrame:
     joined = keyed.join(removals.withColumnsRenamed({"id": "__id", "mark": "__mark"}), ["__id", "__mark"], "left").select("__row", "text", "numbers")
     done = joined.mapInArrow(rebuilt, out_type)
     kept = [F.col("text") if c == "text" else F.col(f"__row.`{c}`").alias(c) for c in names]
-    extra = [c for c in ("n_lines", "n_chunks", "n_removed", "bytes_removed") if c not in names]
+    extra = [F.col(c).alias(prefix + c) for c in ("n_lines", "n_chunks", "n_removed", "bytes_removed") if prefix + c not in names]
     return done.select(*kept, *extra)

@@ -174,6 +174,39 @@ class _Weights(dict):
         return value
 
 
+class Scorer:
+    """A chain ready to give the probabilities of texts."""
+
+    def __init__(self, chain: Chain):
+        self.links, by_word = chain.links, chain.table()
+        self.table = np.vstack([np.zeros((1, len(self.links))), *[v[None, :] for v in by_word.values()]])
+        self.rows_of = _Weights({w: k + 1 for k, w in enumerate(by_word)})
+
+    def chances(self, texts: list[bytes | None]) -> np.ndarray:
+        base = np.zeros((len(texts), len(self.links)))
+        for k, text in enumerate(texts):
+            used = {n for w in set(words_of(text)) for n in self.rows_of[w]}
+            base[k] = self.table[sorted(used)].sum(axis=0) if used else 0
+        odds = np.zeros_like(base)
+        for k, link in enumerate(self.links):
+            odds[:, k] = base[:, k] + link.intercept + (np.clip(odds[:, :k], -8, 8) / 4) @ link.earlier
+        return _sigmoid(odds)
+
+
+def accepted(docs: DataFrame, chain: Chain, threshold: float = 0.5) -> DataFrame:
+    """The rows of docs that the chain does not call toxic, with all their columns."""
+    prepare(docs.sparkSession)
+    held = docs.sparkSession.sparkContext.broadcast(chain)
+    toxic = CATEGORIES.index("toxic")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(held.value)
+        for batch in batches:
+            yield batch.filter(pa.array(scorer.chances(utf8(batch, "text"))[:, toxic] < threshold))
+
+    return docs.mapInArrow(work, docs.schema)
+
+
 def scored(docs: DataFrame, chain: Chain) -> DataFrame:
     """docs with p_<category> for each category."""
     prepare(docs.sparkSession)
@@ -181,19 +214,9 @@ def scored(docs: DataFrame, chain: Chain) -> DataFrame:
     names = [f"p_{c}" for c in CATEGORIES]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        links = held.value.links
-        by_word = held.value.table()
-        table = np.vstack([np.zeros((1, len(links))), *[v[None, :] for v in by_word.values()]])
-        rows_of = _Weights({w: k + 1 for k, w in enumerate(by_word)})
+        scorer, links = Scorer(held.value), held.value.links
         for batch in batches:
-            base = np.zeros((batch.num_rows, len(links)))
-            for k, text in enumerate(utf8(batch, "text")):
-                used = {n for w in set(words_of(text)) for n in rows_of[w]}
-                base[k] = table[list(used)].sum(axis=0) if used else 0
-            odds = np.zeros_like(base)
-            for k, link in enumerate(links):
-                odds[:, k] = base[:, k] + link.intercept + (np.clip(odds[:, :k], -8, 8) / 4) @ link.earlier
-            chances = _sigmoid(odds)
+            chances = scorer.chances(utf8(batch, "text"))
             yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(chances[:, k], pa.float64()) for k in range(len(links))]], names=[*batch.schema.names, *names])
 
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema], *[f"{n} double" for n in names]])
