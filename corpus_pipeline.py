@@ -18,13 +18,14 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents that the toxicity chain does not reject."""
     prepare(spark)
     chain = toxicity.toxicity_model(docs, table(spark, sf_dir, "labels"))
-    return toxicity.scored(docs, chain).filter("p_toxic < 0.5").select(*docs.columns)
+    return toxicity.accepted(docs, chain)
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated multi-line chunks go; a document that loses all its text goes."""
-    found = line_dedup.line_deduplicated(docs).filter("n_removed = 0 or length(trim(text)) > 0")
-    return found.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    found = line_dedup.line_deduplicated(docs, prefix="__lines_").filter("__lines_n_removed = 0 or length(trim(text)) > 0")
+    size = F.when(F.col("__lines_n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return found.withColumn("n_chars", size).select(*docs.columns)
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +37,7 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of benchmark items are cut from the texts."""
     found = decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark"))
-    return found.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return found.withColumn("n_chars", F.length("text").cast("long"))
 
 
 def into_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
