@@ -177,7 +177,7 @@ class Shard:
 
     def documents(self) -> Iterator[tuple[int | None, int, np.ndarray]]:
         ids = self.grammar.expand(self.symbols)
-        stops = [*self.starts[1:].tolist(), self.ids]
+        stops = [*self.starts[1:].tolist(), self.ids][: len(self.starts)]
         for key, a, b in zip(self.doc_ids.tolist(), self.starts.tolist(), stops, strict=True):
             yield None if key == _NULL_ID else key, a, ids[a:b]
 
