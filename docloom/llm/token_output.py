@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.common import column, partitions_for, prepare, rows, shared_dir
-from docloom.llm.tokens import END_ID, WordTokens, default_vocabulary
+from docloom.llm.tokens import END_ID, default_vocabulary, word_tokens
 
 #: Ids below this are terminals; nonterminal k is FIRST_RULE + k.
 FIRST_RULE = 1 << 17
@@ -70,7 +70,9 @@ def repair(ids: np.ndarray, least: int = 8, rounds: int = 8, per_round: int = 40
         keys = (left << 32) | right
         slots = ((keys * -7046029254386353131) >> 43) & (_SLOTS - 1)
         counts = np.bincount(slots[inside], minlength=_SLOTS)
-        often = np.flatnonzero(inside & (counts[slots] >= least))  # a superset of the frequent pairs
+        # Pairs are ranked by the counts of their slots first, so that only the most frequent ones are sorted.
+        floor = max(least, int(np.partition(counts, -per_round)[-per_round]))
+        often = np.flatnonzero(inside & (counts >= floor)[slots])
         if not len(often):
             break
         pairs, which, times = np.unique(keys[often], return_inverse=True, return_counts=True)
@@ -193,12 +195,11 @@ def write_shards(docs: DataFrame, path: str, vocabulary: str | None = None, targ
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        tokens, keys, encoded = WordTokens(vocabulary), [], []
+        tokens, keys, encoded = word_tokens(vocabulary), [], []
         for batch in batches:
             keys += column(batch, "doc_id").to_pylist()
             encoded += tokens.encode(column(batch, "text").to_pylist())
         if keys:
-            del tokens
             data = pack_shard(keys, encoded)
             count = sum(len(e) // 4 + 1 for e in encoded)
             yield rows(_FILES, shard=[TaskContext.get().partitionId()], n_docs=[len(keys)], n_ids=[count], data=[data])

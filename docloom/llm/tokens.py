@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from itertools import filterfalse
 
 import numpy as np
 from tokenizers import Tokenizer
@@ -20,32 +21,57 @@ class WordTokens:
     """Ids of a text as little-endian uint32 bytes.
 
     The file's pre-tokenizer drops white space and never joins across it, so the library encodes each run between
-    blanks alone and gives the ids of the whole text; runs are remembered in a dictionary of bounded size.
+    blanks alone and gives the ids of the whole text; runs are remembered in a dictionary of bounded size. Unknown
+    short runs are encoded many at a time, parted by a special token.
     """
 
-    LIMIT = 400_000
+    LIMIT = 600_000
     LONG = 64
+    TOGETHER = 500
+    MARK, MARK_ID = "<|startoftext|>", 49406
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
+        self.marked = self.tokenizer.token_to_id(self.MARK) == self.MARK_ID
         self.known: dict[str, bytes] = {}
 
     def _encode(self, parts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
 
+    def _encode_short(self, words: list[str]) -> list[bytes]:
+        if not self.marked:
+            return self._encode(words)
+        out: list[bytes] = []
+        for raw in self._encode([self.MARK.join(words[i : i + self.TOGETHER]) for i in range(0, len(words), self.TOGETHER)]):
+            at = (4 * np.flatnonzero(np.frombuffer(raw, dtype="<u4") == self.MARK_ID)).tolist()
+            out += [raw[p:q] for p, q in zip([0, *[x + 4 for x in at]], [*at, len(raw)], strict=True)]
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         known = self.known
         if len(known) > self.LIMIT:
             known.clear()
-        new = list(set().union(*split) - known.keys()) if split else []
-        short = [w for w in new if len(w) <= self.LONG]
-        known.update(zip(short, self._encode(short), strict=True))
-        once = [w for w in new if len(w) > self.LONG]
-        long_words = dict(zip(once, self._encode(once), strict=True)) if once else {}
-        if long_words:
-            return [b"".join([known[w] if len(w) <= self.LONG else long_words[w] for w in words]) for words in split]
-        return [b"".join(map(known.__getitem__, words)) for words in split]
+        new: set[str] = set()
+        for words in split:
+            new.update(filterfalse(known.__contains__, words))
+        plain = [w for w in new if len(w) <= self.LONG and "<" not in w]
+        known.update(zip(plain, self._encode_short(plain) if plain else [], strict=True))
+        rest = [w for w in new if len(w) > self.LONG or "<" in w]
+        if not rest:
+            return [b"".join(map(known.__getitem__, words)) for words in split]
+        once = dict(zip(rest, self._encode(rest), strict=True))
+        return [b"".join([known[w] if w in known else once[w] for w in words]) for words in split]
+
+
+_LOADED: dict[str, WordTokens] = {}
+
+
+def word_tokens(path: str) -> WordTokens:
+    """The worker process's own instance, so that tasks share what it remembers."""
+    if path not in _LOADED:
+        _LOADED[path] = WordTokens(path)
+    return _LOADED[path]
 
 
 def sentence_ends(path: str) -> np.ndarray:
