@@ -69,7 +69,7 @@ def line_deduplicated(docs: DataFrame, prefix: str = "") -> DataFrame:
     spark = prepare(docs.sparkSession)
     cuts = Cuts(spark, "line-dedup")
     keyed = docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long")).alias("__id"), F.xxhash64("text").alias("__mark"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col("text").alias("text")
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long")).alias("__id"), F.xxhash64("text").alias("__mark"), F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("__row"), F.col("text").alias("text")
     )
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,7 +107,7 @@ def line_deduplicated(docs: DataFrame, prefix: str = "") -> DataFrame:
     removals = later.groupBy("id", "mark").agg(F.collect_set("chunk").alias("numbers"))
 
     names = docs.columns
-    out_type = "__row struct<" + ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in docs.schema) + ">, text string, n_lines long, n_chunks long, n_removed long, bytes_removed long"
+    out_type = "__row struct<" + ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in docs.schema if f.name != "text") + ">, text string, n_lines long, n_chunks long, n_removed long, bytes_removed long"
 
     def rebuilt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
