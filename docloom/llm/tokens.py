@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import json
+from functools import lru_cache
 from itertools import filterfalse
 
 import numpy as np
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 END_ID = 2
 
@@ -17,51 +18,102 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: Fixed values of the vocabulary file for which a text may be encoded run by run; for any other file texts go whole.
+NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+WORD_END = "</w>"
+
+
 class WordTokens:
     """Ids of a text as little-endian uint32 bytes.
 
     The file's pre-tokenizer drops white space and never joins across it, so the library encodes each run between
-    blanks alone and gives the ids of the whole text; runs are remembered in a dictionary of bounded size. Unknown
-    short runs are encoded many at a time, parted by a special token.
+    blanks alone and gives the ids of the whole text; runs are remembered in a dictionary of bounded size.
+    The pre-tokenizer also parts letters from signs. An unknown run of signs, Latin-1 letters and signs is therefore
+    the ids of its three parts; the letters, which NFC leaves alone, are lower-cased and go many at a time, parted by
+    blanks, to the library's model without the file's normalizer. The last id of a word ends with WORD_END. Signs that
+    could begin a contraction or a special token don't count as such, and all other runs go to the whole tokenizer.
     """
 
     LIMIT = 600_000
     LONG = 64
     TOGETHER = 500
-    MARK, MARK_ID = "<|startoftext|>", 49406
+    SIGNS = "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.marked = self.tokenizer.token_to_id(self.MARK) == self.MARK_ID
+        with open(path) as f:
+            file = json.load(f)
+        kinds = [n["type"] for n in (file["normalizer"] or {}).get("normalizers", [])]
+        splits = [p["pattern"].get("Regex") for p in (file["pre_tokenizer"] or {}).get("pretokenizers", []) if p["type"] == "Split"]
+        self.by_run = kinds == NORMALIZERS and splits == [SPLIT] and file["model"].get("end_of_word_suffix") == WORD_END
         self.known: dict[str, bytes] = {}
+        if self.by_run:
+            self.words = Tokenizer.from_file(path)
+            self.words.normalizer = None
+            level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+            self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), level])
+            vocabulary = self.words.get_vocab()
+            self.ends_word = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+            self.ends_word[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
 
     def _encode(self, parts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
 
-    def _encode_short(self, words: list[str]) -> list[bytes]:
-        if not self.marked:
-            return self._encode(words)
+    def _encode_words(self, words: list[str]) -> list[bytes]:
         out: list[bytes] = []
-        for raw in self._encode([self.MARK.join(words[i : i + self.TOGETHER]) for i in range(0, len(words), self.TOGETHER)]):
-            at = (4 * np.flatnonzero(np.frombuffer(raw, dtype="<u4") == self.MARK_ID)).tolist()
-            out += [raw[p:q] for p, q in zip([0, *[x + 4 for x in at]], [*at, len(raw)], strict=True)]
+        joined = [" ".join(words[i : i + self.TOGETHER]) for i in range(0, len(words), self.TOGETHER)]
+        for found in self.words.encode_batch_fast(joined, add_special_tokens=False):
+            ids = np.asarray(found.ids, dtype="<u4")
+            raw, at = ids.tobytes(), (4 * np.flatnonzero(self.ends_word[ids]) + 4).tolist()
+            out += [raw[p:q] for p, q in zip([0, *at[:-1]], at, strict=True)]
         return out
 
+    def _learn(self, runs: set[str]) -> dict[str, bytes]:
+        """Remember the ids of new runs; those of long ones are returned instead."""
+        known, signs = self.known, self.SIGNS
+        parted, lowered, other = [], [], []
+        for run in runs:
+            word = run.strip(signs)
+            if word.isalpha() and len(run) <= self.LONG and (word.isascii() or max(word) <= "\xff"):
+                parted.append(run)
+                lowered.append(word.lower())
+            else:
+                other.append(run)
+        letters = list(set(filterfalse(known.__contains__, lowered)))
+        known.update(zip(letters, self._encode_words(letters) if letters else [], strict=True))
+        short = [run for run in other if len(run) <= self.LONG]
+        known.update(zip(short, self._encode(short) if short else [], strict=True))
+        for run, lower in zip(parted, lowered, strict=True):
+            ids = known[lower]
+            if len(lower) != len(run):
+                rest = run.lstrip(signs)
+                ids = self._signs(run[: len(run) - len(rest)]) + ids + self._signs(rest[len(lower) :])
+            known[run] = ids
+        long = [run for run in other if len(run) > self.LONG]
+        return dict(zip(long, self._encode(long) if long else [], strict=True))
+
+    def _signs(self, part: str) -> bytes:
+        if part not in self.known:
+            self.known[part] = self._encode([part])[0]
+        return self.known[part]
+
     def encode(self, texts: list[str]) -> list[bytes]:
+        if not self.by_run:
+            return self._encode(texts)
         split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         known = self.known
         if len(known) > self.LIMIT:
             known.clear()
-        new: set[str] = set()
-        for words in split:
-            new.update(filterfalse(known.__contains__, words))
-        plain = [w for w in new if len(w) <= self.LONG and "<" not in w]
-        known.update(zip(plain, self._encode_short(plain) if plain else [], strict=True))
-        rest = [w for w in new if len(w) > self.LONG or "<" in w]
-        if not rest:
-            return [b"".join(map(known.__getitem__, words)) for words in split]
-        once = dict(zip(rest, self._encode(rest), strict=True))
-        return [b"".join([known[w] if w in known else once[w] for w in words]) for words in split]
+        found = [list(map(known.get, runs)) for runs in split]
+        gaps = [[k for k, ids in enumerate(held) if ids is None] if None in held else [] for held in found]
+        new = {runs[k] for runs, at in zip(split, gaps, strict=True) for k in at}
+        once = self._learn(new) if new else {}
+        for runs, held, at in zip(split, found, gaps, strict=True):
+            for k in at:
+                ids = known.get(runs[k])
+                held[k] = once[runs[k]] if ids is None else ids
+        return list(map(b"".join, found))
 
 
 _LOADED: dict[str, WordTokens] = {}
@@ -74,6 +126,7 @@ def word_tokens(path: str) -> WordTokens:
     return _LOADED[path]
 
 
+@lru_cache(maxsize=4)
 def sentence_ends(path: str) -> np.ndarray:
     """For each token id, whether its string ends a sentence (. ! ? at a word's end)."""
     with open(path) as f:

@@ -24,7 +24,7 @@ def raw(ids):
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.text(alphabet=st.sampled_from("aB .,!?'s\n\t\r  ́é漢İ<|endoftext|>0\x1c")), max_size=6))
+@given(st.lists(st.text(alphabet=st.sampled_from("aB .,!?'s\n\t\r  ́é漢İ<|endoftext|>0\x1cßÄªµſ&%*-_/")), max_size=6))
 def test_word_by_word_equals_whole_texts(parts):
     tokenizer = test_word_by_word_equals_whole_texts.tokenizer
     text = " ".join(parts)
