@@ -30,7 +30,9 @@ from docloom.llm.tokens import END_ID, default_vocabulary, word_tokens
 #: Ids below this are terminals; nonterminal k is FIRST_RULE + k.
 FIRST_RULE = 1 << 17
 SHARD_BYTES = 6 << 20
-_SLOTS = 1 << 21
+_SLOTS = 1 << 20
+_SHIFT = np.uint32(12)
+_MIX = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B))
 _NULL_ID = -(1 << 63)
 _HEAD = struct.Struct("<4sQQQQ")
 
@@ -42,7 +44,7 @@ def ordered(docs: DataFrame, target_bytes: int = SHARD_BYTES) -> DataFrame:
     return docs.repartitionByRange(partitions_for(docs, "text", target_bytes), F.col("doc_id"), tie).sortWithinPartitions("doc_id", tie)
 
 
-def _replaced(ids: np.ndarray, left: np.ndarray, right: np.ndarray, pair_of: np.ndarray, hit: np.ndarray) -> np.ndarray:
+def _replaced(ids: np.ndarray, pair_of: np.ndarray, hit: np.ndarray) -> np.ndarray:
     """Replace the hits (positions of pairs), taking overlapping ones from the left; pair_of gives each the new symbol."""
     if len(hit) > 1:
         fresh = np.empty(len(hit), dtype=bool)  # runs of touching hits: every second one from a run's start
@@ -59,33 +61,44 @@ def _replaced(ids: np.ndarray, left: np.ndarray, right: np.ndarray, pair_of: np.
 
 def repair(ids: np.ndarray, least: int = 8, rounds: int = 8, per_round: int = 4096, gain: float = 0.01) -> tuple[np.ndarray, np.ndarray]:
     """Symbols and rules (k, 2) of a Re-Pair grammar of ids; the end id stands in no rule."""
-    ids = ids.astype(np.int64)
+    ids = ids.astype(np.uint32)
     rules: list[np.ndarray] = []
     made = 0
     for _ in range(rounds):
         if len(ids) < 2:
             break
         left, right = ids[:-1], ids[1:]
-        inside = (left != END_ID) & (right != END_ID)
-        keys = (left << 32) | right
-        slots = ((keys * -7046029254386353131) >> 43) & (_SLOTS - 1)
-        counts = np.bincount(slots[inside], minlength=_SLOTS)
-        # Pairs are ranked by the counts of their slots first, so that only the most frequent ones are sorted.
+        slots = ((left * _MIX[0]) ^ right) * _MIX[1] >> _SHIFT
+        slots[(left == END_ID) | (right == END_ID)] = _SLOTS
+        counts = np.bincount(slots, minlength=_SLOTS + 1)[:_SLOTS]
+        # Pairs are ranked by the counts of their slots first; a slot's pairs are then counted apart, exactly: one of
+        # them by the slot, the others by sorting.
         floor = max(least, int(np.partition(counts, -per_round)[-per_round]))
-        often = np.flatnonzero(inside & (counts >= floor)[slots])
+        often = np.flatnonzero(np.append(counts >= floor, False)[slots])
         if not len(often):
             break
-        pairs, which, times = np.unique(keys[often], return_inverse=True, return_counts=True)
-        best = np.argsort(-times, kind="stable")[:per_round]
+        at = slots[often]
+        keys = (left[often].astype(np.int64) << 32) | right[often]
+        holder = np.zeros(_SLOTS, dtype=np.int64)
+        holder[at] = keys
+        own = holder[at] == keys
+        own_times = np.bincount(at[own], minlength=_SLOTS)
+        own_slots = np.flatnonzero(own_times)
+        others, which, other_times = np.unique(keys[~own], return_inverse=True, return_counts=True)
+        pairs, times = np.concatenate([holder[own_slots], others]), np.concatenate([own_times[own_slots], other_times])
+        best = np.lexsort((pairs, -times))[:per_round]
         best = best[times[best] >= least]
         if not len(best):
             break
         number = np.full(len(pairs), -1, dtype=np.int64)
         number[best] = FIRST_RULE + made + np.arange(len(best))
-        symbol = number[which]
+        of_slot = np.full(_SLOTS, -1, dtype=np.int64)
+        of_slot[own_slots] = number[: len(own_slots)]
+        symbol = of_slot[at]
+        symbol[~own] = number[len(own_slots) :][which]
         chosen = symbol >= 0
         before = len(ids)
-        ids = _replaced(ids, left, right, symbol[chosen], often[chosen])
+        ids = _replaced(ids, symbol[chosen], often[chosen])
         rules.append(np.stack([pairs[best] >> 32, pairs[best] & 0xFFFFFFFF], axis=1))
         made += len(best)
         if before - len(ids) < gain * before:
@@ -94,6 +107,14 @@ def repair(ids: np.ndarray, least: int = 8, rounds: int = 8, per_round: int = 40
     return ids.astype("<u4"), table.astype("<u4")
 
 
+def symbol_sizes(symbols: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """How many ids each symbol stands for."""
+    sizes = np.ones(len(symbols), dtype=np.int64)
+    rule = symbols >= FIRST_RULE
+    sizes[rule] = lengths[symbols[rule] - FIRST_RULE]
+    return sizes
+
+
 class Grammar:
     """Expansions of all rules, for decoding any range of symbols."""
 
@@ -110,15 +131,9 @@ class Grammar:
                     self.flat[at], n = part, 1
                 at += n
 
-    def sizes(self, symbols: np.ndarray) -> np.ndarray:
-        sizes = np.ones(len(symbols), dtype=np.int64)
-        rule = symbols >= FIRST_RULE
-        sizes[rule] = self.lengths[symbols[rule] - FIRST_RULE]
-        return sizes
-
     def expand(self, symbols: np.ndarray) -> np.ndarray:
         symbols = symbols.astype(np.int64)
-        sizes = self.sizes(symbols)
+        sizes = symbol_sizes(symbols, self.lengths)
         source = np.concatenate([self.flat, symbols.astype("<u4")])  # terminals are read from the symbols themselves
         rule = symbols >= FIRST_RULE
         begin = np.where(rule, self.starts[np.where(rule, symbols - FIRST_RULE, 0)], len(self.flat) + np.arange(len(symbols)))
@@ -143,7 +158,7 @@ def pack_shard(doc_ids: list[int | None], encoded: list[bytes]) -> bytes:
     # The tokenizer itself may give id 2, so documents are told apart by their lengths, not by the end id alone.
     counts = np.array([len(e) // 4 + 1 for e in encoded], dtype=np.int64)
     starts = np.concatenate([[0], np.cumsum(counts)])[:-1]
-    end_positions = np.cumsum(Grammar(rules, lengths).sizes(symbols.astype(np.int64)))
+    end_positions = np.cumsum(symbol_sizes(symbols.astype(np.int64), lengths))
     offsets = np.searchsorted(end_positions, starts, side="right")
     assert len(ends) >= len(encoded)
     keys = np.array([_NULL_ID if d is None else d for d in doc_ids], dtype="<i8")
