@@ -62,6 +62,10 @@ class Cuts:
             path = jvm.org.apache.hadoop.fs.Path(self.made[id(frame)][0])
             path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
+    def release(self) -> None:
+        """Let Spark's cleaner delete shuffle files of finished jobs: it does so when the driver collects garbage."""
+        self.spark._jvm.System.gc()
+
 
 def utf8(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
     """A text column as bytes, without decoding."""
