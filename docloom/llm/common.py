@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -63,7 +64,8 @@ class Cuts:
             path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
     def release(self) -> None:
-        """Let Spark's cleaner delete shuffle files of finished jobs: it does so when the driver collects garbage."""
+        """Let Spark's cleaner delete shuffle files of finished jobs, once nothing in the driver refers to them."""
+        gc.collect()  # frames in reference cycles hold their plans in the JVM
         self.spark._jvm.System.gc()
 
 
