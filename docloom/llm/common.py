@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
+import time
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -66,7 +67,9 @@ class Cuts:
     def release(self) -> None:
         """Let Spark's cleaner delete shuffle files of finished jobs, once nothing in the driver refers to them."""
         gc.collect()  # frames in reference cycles hold their plans in the JVM
-        self.spark._jvm.System.gc()
+        for _ in range(2):  # the listener bus holds the last plan for a moment, and files are deleted in the background
+            self.spark._jvm.System.gc()
+            time.sleep(0.5)
 
 
 def utf8(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
