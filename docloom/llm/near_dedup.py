@@ -6,7 +6,8 @@ One 64-bit hash orders all shingles, and a document retains its k smallest. Docu
 class before anything is compared. Inverted lists of retained values generate candidates: two sets of similarity
 0.8 share at least `least_overlap` retained values (all but about 1e-5 of borderline pairs of large sets, always for
 sets within the sketch), so by the pigeonhole principle they share one of the `k - least + 1` rarest, and only those
-lists are read; common passages are among a document's frequent values and rarely make a list.
+lists are read; common passages are among a document's frequent values and rarely make a list. A set that fits the
+sketch reads at least the lists that its exact prefix asks for.
 Inside a list sets of at most EXACT shingles are compared whole; of larger ones the EXACT smallest shingles estimate
 the similarity on the bottom of the union. The exact Jaccard similarity of the full sets confirms each link.
 Null ids: the row is kept and belongs to no component. Rows with equal doc_id count as copies of one id when their
@@ -97,7 +98,9 @@ def near_duplicates(docs: DataFrame, k: int = 96, words: int = 4, percent: int =
     # Values that nobody else retains come first in the order by frequency, so they use up the prefix first.
     kept_values = F.least(F.col("n"), F.lit(k))
     exact_prefix = F.col("n") - F.ceil(F.col("n") * F.lit(percent) / F.lit(100)) + 1
-    prefix = F.when(F.col("n") <= F.lit(k * percent // 100), exact_prefix).otherwise(kept_values - least_overlap_of(F.col("n"), k, percent) + 1)
+    # A whole set of up to k items meets whole sets, where only the exact prefix is safe, and sketches of larger ones.
+    sketch_prefix = kept_values - least_overlap_of(F.col("n"), k, percent) + 1
+    prefix = F.when(F.col("n") <= F.lit(k * percent // 100), exact_prefix).when(F.col("n") <= F.lit(k), F.greatest(exact_prefix, sketch_prefix)).otherwise(sketch_prefix)
     room = (prefix - (kept_values - F.size("shared"))).cast("int")
     listed = by_node.join(reps.select("node", "n", "rep"), "node").withColumn("room", room).filter("room > 0")
     listed = cuts.cut(listed.select("node", "rep", F.explode(F.slice("shared", F.lit(1), F.col("room"))).alias("e")).select("node", "rep", "e.key", "e.cnt"))

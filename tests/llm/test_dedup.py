@@ -59,6 +59,24 @@ def test_near_duplicates_in_a_large_family(spark):
     assert {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(frame).collect()} == expected
 
 
+def test_near_duplicates_about_the_sketch_size(spark):
+    """Sets of 70 to 100 shingles with a few words changed, and sets inside others."""
+    texts, random = [], np.random.default_rng(3)
+    for n in range(70, 101):
+        words = [f"s{n}w{k}" for k in range(n + 3)]
+        for changed in range(1, 6):
+            own = [f"c{changed}{w}" for w in words]  # a family of its own
+            near = list(own)
+            at = int(random.integers(0, len(own) - changed))
+            near[at : at + changed] = [f"new{n}x{changed}x{k}" for k in range(changed)]
+            texts += [" ".join(own), " ".join(near)]
+        for least in (-(-8 * n // 10), -(-8 * n // 10) - 1):
+            texts += [" ".join(f"{least}{w}" for w in words), " ".join(f"{least}{w}" for w in words[: least + 3])]
+    expected = brute({k: shingles(t) for k, t in enumerate(texts)})
+    found = near_dedup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert {r["doc_id"]: r["component_id"] for r in found.collect()} == expected
+
+
 @pytest.mark.parametrize("operator", [near_dedup.near_duplicates, substring_dedup.repeated_passages, line_dedup.line_deduplicated])
 def test_empty_tables(empty, operator):
     assert operator(empty).count() == 0
