@@ -1,10 +1,12 @@
 """Removal of multi-line chunks that occur more than once in the corpus.
 
-A text is split into lines at "\\n". A hash rolling over two line hashes ends a chunk where its low bits are zero
-(every fourth line on average, MAX_LINES at most), so an inserted line moves only the boundaries next to it. Chunks
-of at least two lines and MIN_BYTES bytes without white space count. Of chunks with equal hashes the bytes are
-compared; of equal ones the occurrence in the smallest (doc_id, chunk number) stays and all others are removed, each
-with the line break that joins it to its neighbour.
+A text is split into lines at "\\n". A chunk is a run of at least two lines and MIN_BYTES bytes without white space; a
+line goes if it stands in a chunk whose lines all stood together at an earlier place (doc_id, line) before, in another
+document or above without overlap. Only the shortest chunks that begin or end at a line are compared: a repeated run of
+any length is covered by those inside it, so it goes whole, whatever surrounds it. Chunks whose hash, rolling over
+their lines' hashes, occurs twice are compared by the SHA-256 of their bytes. The earliest place of a chunk stays,
+unless a line of it also stands in another repeated chunk; one copy of each line always stays. A removed line goes with
+the line break that joins it to its neighbour.
 
 Null texts stay null, empty texts stay empty. Rows equal in doc_id and text are one document and are treated alike.
 Null doc_ids sort first. Other columns pass through, whatever their names.
@@ -12,60 +14,60 @@ Null doc_ids sort first. Other columns pass through, whatever their names.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import Cuts, WordHashes, column, mixed, prepare, rows, signed, utf8
+from docloom.llm.common import Cuts, WordHashes, column, mixed, prepare, rows, utf8
 
 MIN_BYTES = 32
-MAX_LINES = 64
-_BOUNDARY = np.uint64(3)
-_SHIFT = np.uint64(0x9E3779B97F4A7C15)
-
-
-def chunk_ends(lines: list[bytes], hashes: WordHashes) -> list[int]:
-    """Numbers of lines before the end of each chunk."""
-    if not lines:
-        return []
-    own = hashes.of(lines)
-    rolling = own.copy()
-    rolling[1:] += own[:-1] * _SHIFT
-    ends = (np.flatnonzero((mixed(rolling) & _BOUNDARY) == 0) + 1).tolist()
-    if not ends or ends[-1] != len(lines):
-        ends.append(len(lines))
-    out, begin = [], 0
-    for end in ends:
-        while end - begin > MAX_LINES:
-            begin += MAX_LINES
-            out.append(begin)
-        out.append(end)
-        begin = end
-    return out
-
-
-def chunks(text: bytes, hashes: WordHashes) -> list[tuple[list[bytes], bool]]:
-    """The chunks of a text as lines, and whether each is long enough to be compared."""
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
+
+
+def _solid(lines: list[bytes]) -> np.ndarray:
+    """Bytes without white space before each line and after the last."""
+    return np.cumsum([0, *(len(b"".join(x.split())) for x in lines)])
+
+
+def spans(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """First line and line after the last of the shortest chunks from each line on and up to each line."""
+    before, n = _solid(lines), len(lines)
+    if n < 2 or before[-1] < MIN_BYTES:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    at = np.arange(n + 1)
+    after = np.maximum(at + 2, np.searchsorted(before, before + MIN_BYTES, "left"))
+    begin = np.minimum(at - 2, np.searchsorted(before, before - MIN_BYTES, "right") - 1)
+    onward, back = after <= n, begin >= 0
+    both = np.unique(np.concatenate([at[onward] * (n + 1) + after[onward], begin[back] * (n + 1) + at[back]]))
+    return both // (n + 1), both % (n + 1)
+
+
+def span_hashes(lines: list[bytes], first: np.ndarray, after: np.ndarray, hashes: WordHashes) -> np.ndarray:
+    """A polynomial over the lines' hashes for each chunk, from sums over all lines before."""
+    powers, inverse = (np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(lines), x, dtype=np.uint64)])) for x in (np.uint64(_BASE), np.uint64(_INVERSE)))
+    total = np.concatenate([[np.uint64(0)], np.cumsum(hashes.of(lines) * powers[:-1])])
+    return mixed((total[after] - total[first]) * inverse[first] + (after - first).astype(np.uint64))
+
+
+def chunks(text: bytes, hashes: WordHashes | None = None) -> list[tuple[list[bytes], bool]]:
+    """The units of removal, which are single lines, and whether each stands in a chunk that is compared."""
     lines = text.split(b"\n")
-    out, begin = [], 0
-    for end in chunk_ends(lines, hashes):
-        part = lines[begin:end]
-        out.append((part, len(part) > 1 and sum(len(b"".join(x.split())) for x in part) >= MIN_BYTES))
-        begin = end
-    return out
+    fit = len(lines) > 1 and bool(_solid(lines)[-1] >= MIN_BYTES)
+    return [([x], fit) for x in lines]
 
 
-_HASHED = pa.schema([("id", pa.int64()), ("mark", pa.int64()), ("chunk", pa.int32()), ("h", pa.int64())])
-_BYTES = pa.schema([("id", pa.int64()), ("mark", pa.int64()), ("chunk", pa.int32()), ("body", pa.binary())])
+_HASHED = pa.schema([("id", pa.int64()), ("mark", pa.int64()), ("first", pa.int32()), ("after", pa.int32()), ("h", pa.int64())])
+_DIGESTS = pa.schema([("id", pa.int64()), ("mark", pa.int64()), ("first", pa.int32()), ("after", pa.int32()), ("digest", pa.binary())])
 
 
 def line_deduplicated(docs: DataFrame, prefix: str = "") -> DataFrame:
-    """docs with the repeated chunks cut from text, and columns n_lines, n_chunks, n_removed, bytes_removed, each after
-    the prefix; a column of docs that has such a name stays as it is and the new one is left out."""
+    """docs with the repeated chunks cut from text, and columns n_lines, n_chunks (those compared), n_removed (lines) and
+    bytes_removed, each after the prefix; a column of docs that has such a name stays as it is and the new one is left out."""
     spark = prepare(docs.sparkSession)
     cuts = Cuts(spark, "line-dedup")
     keyed = docs.select(
@@ -75,51 +77,55 @@ def line_deduplicated(docs: DataFrame, prefix: str = "") -> DataFrame:
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            out: list[tuple] = []
+            parts = []
             for key, mark, text in zip(column(batch, "__id").to_pylist(), column(batch, "__mark").to_pylist(), utf8(batch, "text"), strict=True):
-                if text:
-                    out += [(key, mark, k, signed(xxhash.xxh3_64_intdigest(b"\n".join(part)))) for k, (part, fit) in enumerate(chunks(text, hashes)) if fit]
-            if out:
-                ids, marks, numbers, found = zip(*out, strict=True)
-                yield rows(_HASHED, id=ids, mark=marks, chunk=numbers, h=found)
-
-    found = cuts.cut(keyed.select("__id", "__mark", "text").mapInArrow(hashed, "id long, mark long, chunk int, h long"))
+                lines = text.split(b"\n") if text else []
+                first, after = spans(lines)
+                if len(first):
+                    parts.append((np.full(len(first), key), np.full(len(first), mark), first, after, span_hashes(lines, first, after, hashes).view(np.int64)))
+            if parts:
+                ids, marks, firsts, afters, found = map(np.concatenate, zip(*parts, strict=True))
+                yield rows(_HASHED, id=ids, mark=marks, first=firsts.astype(np.int32), after=afters.astype(np.int32), h=found)
+
+    found = cuts.cut(keyed.select("__id", "__mark", "text").mapInArrow(hashed, "id long, mark long, first int, after int, h long"))
     repeated = found.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
-    suspects = cuts.cut(found.join(repeated, "h", "left_semi").groupBy("id", "mark").agg(F.collect_set("chunk").alias("numbers")))
+    suspects = found.join(repeated, "h", "left_semi").groupBy("id", "mark").agg(F.collect_set(F.struct("first", "after")).alias("spans"))
+    suspects = cuts.cut(suspects.select("id", "mark", F.col("spans.first").alias("firsts"), F.col("spans.after").alias("afters")))
+    cuts.drop(found)
 
-    def bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for key, mark, text, numbers in zip(column(batch, "id").to_pylist(), column(batch, "mark").to_pylist(), utf8(batch, "text"), column(batch, "numbers").to_pylist(), strict=True):
-                parts = chunks(text, hashes)
-                out += [(key, mark, k, b"\n".join(parts[k][0])) for k in numbers]
+            for key, mark, text, firsts, afters in zip(*(column(batch, c).to_pylist() for c in ("id", "mark")), utf8(batch, "text"), *(column(batch, c).to_pylist() for c in ("firsts", "afters")), strict=True):
+                lines = text.split(b"\n")
+                out += [(key, mark, a, b, hashlib.sha256(b"\n".join(lines[a:b])).digest()) for a, b in zip(firsts, afters, strict=True)]
             if out:
-                ids, marks, numbers, found_bytes = zip(*out, strict=True)
-                yield rows(_BYTES, id=ids, mark=marks, chunk=numbers, body=found_bytes)
+                ids, marks, starts, ends, made = zip(*out, strict=True)
+                yield rows(_DIGESTS, id=ids, mark=marks, first=starts, after=ends, digest=made)
 
     texts = keyed.select(F.col("__id").alias("id"), F.col("__mark").alias("mark"), "text")
-    bytes_of = texts.join(suspects, ["id", "mark"]).dropDuplicates(["id", "mark"]).select("id", "mark", "text", "numbers").mapInArrow(bodies, "id long, mark long, chunk int, body binary")
-    bytes_of = cuts.cut(bytes_of.withColumn("key", F.xxhash64("body")))
-    place = F.struct("id", "mark", "chunk")
-    first = bytes_of.groupBy("key", "body").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").select("key", "body", "first")
-    later = bytes_of.join(first, ["key", "body"]).filter(place != F.col("first"))
-    removals = later.groupBy("id", "mark").agg(F.collect_set("chunk").alias("numbers"))
+    held = texts.join(suspects, ["id", "mark"]).dropDuplicates(["id", "mark"]).select("id", "mark", "text", "firsts", "afters")
+    digest_of = cuts.cut(held.mapInArrow(digests, "id long, mark long, first int, after int, digest binary"))
+    place = F.struct("id", "mark", "first")
+    earliest = digest_of.groupBy("digest").agg(F.min(place).alias("place"), F.count("*").alias("n")).filter("n > 1").select("digest", "place")
+    apart = (F.col("id") != F.col("place.id")) | (F.col("mark") != F.col("place.mark")) | (F.col("first") >= F.col("place.first") + F.col("after") - F.col("first"))
+    later = digest_of.join(earliest, "digest").filter(apart)
+    numbers = F.explode(F.sequence("first", F.col("after") - F.lit(1)))
+    removals = later.select("id", "mark", numbers.alias("number")).groupBy("id", "mark").agg(F.collect_set("number").alias("numbers"))
 
     names = docs.columns
     out_type = "__row struct<" + ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in docs.schema if f.name != "text") + ">, text string, n_lines long, n_chunks long, n_removed long, bytes_removed long"
 
     def rebuilt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
             texts_out, lines, counts, gone, lost = [], [], [], [], []
             for text, numbers in zip(utf8(batch, "text"), column(batch, "numbers").to_pylist(), strict=True):
-                parts = chunks(text, hashes) if text else []
+                own = text.split(b"\n") if text else []
                 drop = set(numbers or ())
-                clean = text if not drop else b"\n".join(b"\n".join(part) for k, (part, _) in enumerate(parts) if k not in drop)
+                clean = text if not drop else b"\n".join(x for k, x in enumerate(own) if k not in drop)
                 texts_out.append(None if clean is None else clean.decode())
-                lines.append(sum(len(part) for part, _ in parts))
-                counts.append(len(parts))
+                lines.append(len(own))
+                counts.append(len(spans(own)[0]))
                 gone.append(len(drop))
                 lost.append(len(text or b"") - len(clean or b""))
             yield pa.RecordBatch.from_arrays(

@@ -136,3 +136,35 @@ def test_chunk_boundaries_resist_shifts():
     lines = [prose(k, 6).encode() for k in range(60)]
     a, b = ({b"\n".join(p) for p, _ in line_dedup.chunks(b"\n".join(x), hashes)} for x in (lines, [b"new", *lines[:30], b"other", *lines[30:]]))
     assert len(a & b) >= len(a) - 3
+
+
+def brute_lines(texts):
+    """Lines left of each text, by all runs of two or more lines and 32 solid bytes."""
+    seen, out = {}, []
+    for doc, text in enumerate(texts):
+        lines = text.split("\n")
+        runs = [(a, b) for a in range(len(lines)) for b in range(a + 2, len(lines) + 1) if len("".join("".join(lines[a:b]).split())) >= 32]
+        for a, b in runs:
+            seen.setdefault(tuple(lines[a:b]), (doc, a))
+        drop = set()
+        for a, b in runs:
+            at = seen[tuple(lines[a:b])]
+            if at[0] != doc or at[1] + b - a <= a:
+                drop |= set(range(a, b))
+        out.append((len(drop), "\n".join(x for k, x in enumerate(lines) if k not in drop)))
+    return out
+
+
+def test_repeated_runs_of_lines_go_whole(spark):
+    random = np.random.default_rng(8)
+    blocks = [[prose(500 + 20 * k + j, int(random.integers(1, 9))) for j in range(n)] for k, n in enumerate([2, 2, 3, 4, 6, 8, 12])]
+    blocks += [["ab", "cd", "", "ef", "x" * 9, "", "gh", "y" * 14, "ij"], ["again " + prose(7, 4)] * 5, ["k", "l"], ["alone " + prose(9, 12)]]
+    texts = []
+    for k in range(60):
+        lines = []
+        for j in range(4):
+            lines += [prose(3000 + 50 * k + 9 * j + i, 5) for i in range(int(random.integers(0, 3)))]
+            lines += blocks[int(random.integers(0, len(blocks)))]
+        texts.append("\n".join(lines))
+    found = line_dedup.line_deduplicated(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()
+    assert [(r["n_removed"], r["text"]) for r in sorted(found, key=lambda r: r["doc_id"])] == brute_lines(texts)
