@@ -168,3 +168,14 @@ def test_repeated_runs_of_lines_go_whole(spark):
         texts.append("\n".join(lines))
     found = line_dedup.line_deduplicated(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()
     assert [(r["n_removed"], r["text"]) for r in sorted(found, key=lambda r: r["doc_id"])] == brute_lines(texts)
+
+
+def test_repeated_passages_go_whole(spark):
+    rows, expected = [], {}
+    for k in range(12):
+        shared = prose(7000 + k, 51 + 15 * k)
+        rows += [(2 * k, f"{prose(7100 + k, 30 + k)} left{k} {shared} right{k} {prose(7200 + k, 25)}"), (2 * k + 1, f"{prose(7300 + k, 11 * k + 1)} {shared} {prose(7400 + k, 40)}")]
+        expected |= {2 * k: [], 2 * k + 1: [[11 * k + 1, 11 * k + 1 + 51 + 15 * k]]}
+    found = substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["spans"] for r in found} == expected
+    assert all(r["removed_words"] == sum(b - a for a, b in r["spans"]) for r in found)
