@@ -224,6 +224,7 @@ def scored(docs: DataFrame, chain: Chain) -> DataFrame:
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, bound: int = TRAIN_ROWS) -> DataFrame:
-    """doc_id, the categories' probabilities and rejected (toxic or severe at the threshold), per document."""
+    """doc_id, the categories' probabilities and rejected (p_toxic at the threshold; p_severe is given but
+    decides nothing), per document."""
     found = scored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), toxicity_model(docs, labels, bound))
     return found.select("doc_id", *[f"p_{c}" for c in CATEGORIES], (F.col("p_toxic") >= threshold).alias("rejected"))
