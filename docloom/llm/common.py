@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import os
+import re
 import tempfile
 import time
 import uuid
@@ -37,9 +38,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where spark.checkpoint.dir is unset (tests, one machine)."""
+    """The cluster's shared folder; a temporary one only in local mode, where all tasks share one machine."""
     set_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not set_dir:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         set_dir = os.path.join(tempfile.gettempdir(), f"docloom-{os.getpid()}")
     return set_dir.rstrip("/")
 
@@ -81,6 +84,43 @@ def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
 
+#: One random number for each byte value; a word's hash is a polynomial over them.
+_BYTES = np.random.Generator(np.random.PCG64(20240229)).integers(0, 1 << 64, 256, dtype=np.uint64)
+_BASE = 0x9E3779B97F4A7C15
+
+
+def hashed_strings(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each string's bytes, and numbers that are equal where the bytes are equal."""
+    coded = strings.dictionary_encode()
+    words = pc.cast(coded.dictionary, pa.large_binary())
+    if not len(words):
+        return np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int32)
+    _, offsets, data = words.buffers()
+    ends = np.frombuffer(offsets, dtype=np.int64)[words.offset : words.offset + len(words) + 1]
+    begins, sizes = ends[:-1], np.diff(ends)
+    raw = np.frombuffer(data, dtype=np.uint8)[ends[0] : ends[-1]] if data is not None and ends[-1] > ends[0] else np.empty(0, np.uint8)
+    powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(int(sizes.max()), _BASE, dtype=np.uint64)]))
+    place = np.arange(len(raw)) - np.repeat(begins - ends[0], sizes)
+    sums = np.concatenate([_BYTES[raw] * powers[place], [np.uint64(0)]])
+    total = np.add.reduceat(sums, begins - ends[0], dtype=np.uint64)
+    total[sizes == 0] = 0
+    found = mixed(total + powers[sizes])
+    codes = coded.indices.to_numpy()
+    return found[codes], codes
+
+
+def hashed_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts in order, A-Z lower-cased, and where each text's begin (one more at the end).
+
+    Words are runs of bytes other than ASCII white space; a null text has none. All of it runs in Arrow and numpy, with
+    no loop over words."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.string()), "")))
+    words = lists.flatten()
+    full = pc.binary_length(words).to_numpy(zero_copy_only=False) > 0
+    before = np.concatenate([[0], np.cumsum(full)])
+    return hashed_strings(words)[0][full], before[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+
+
 class WordHashes(dict):
     """64-bit hash of a word's bytes, remembered for a bounded number of words."""
 
@@ -96,7 +136,7 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
-_STEP = np.uint64(0x9E3779B97F4A7C15)
+_STEP = np.uint64(_BASE)
 
 
 def mixed(values: np.ndarray) -> np.ndarray:

@@ -1,11 +1,11 @@
 import re
-from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from docloom.llm import line_dedup, near_dedup, substring_dedup
-from docloom.llm.common import Cuts, WordHashes
+from docloom.llm.common import Cuts
 from docloom.llm.linkage import components
 from tests.llm.conftest import prose
 
@@ -100,44 +100,40 @@ def test_repeated_passages_are_found_anywhere(docs, texts):
     assert all(found[3 * k + 1]["n_removed"] == 0 for k in range(19, 39)) and found[None]["n_removed"] == 0
 
 
-def test_passages_share_a_paragraph():
-    hashes = WordHashes()
-    shared = prose(30, 51).encode().split()
-    for seed in range(40):
-        a = hashes.of(prose(1000 + seed, 45).encode().split() + shared + prose(2000 + seed, 31).encode().split())
-        b = hashes.of(prose(3000 + seed, 17).encode().split() + shared)
-        assert set(substring_dedup.paragraphs(a)[1].tolist()) & set(substring_dedup.paragraphs(b)[1].tolist())
-
-
 def test_line_chunks(docs, texts):
-    found = [r for r in line_dedup.line_deduplicated(docs).collect()]
+    found = line_dedup.line_deduplicated(docs).collect()
     rows = {r["doc_id"]: r for r in found}
     assert len(found) == docs.count()
-    hashes = WordHashes()
-    seen = Counter()
-    for k, text in sorted((3 * k + 1, t) for k, t in enumerate(texts)):  # brute force in order of doc_id
-        if text is None:
-            assert rows[k]["text"] is None
-            continue
-        kept, removed = [], 0
-        for part, fit in line_dedup.chunks(text.encode(), hashes):
-            body = b"\n".join(part)
-            if fit and seen[body]:
-                removed += 1
-            else:
-                kept.append(body)
-            seen[body] += fit
-        assert rows[k]["n_removed"] == removed and rows[k]["text"] == (b"\n".join(kept).decode() if removed else text)
+    for k, (removed, left) in enumerate(brute_lines([t or "" for t in texts])):
+        row = rows[3 * k + 1]
+        assert (row["n_removed"], row["text"]) == (removed, None if texts[k] is None else left)
+        assert row["n_lines"] == (len(texts[k].split("\n")) if texts[k] else 0)
     assert rows[3 * 13 + 1]["n_removed"] > 0 and rows[1]["odd name"] == 1 and rows[1]["key"] == "k"
 
 
 def test_chunk_boundaries_resist_shifts():
-    hashes = WordHashes()
-    lines = [prose(k, 6).encode() for k in range(60)]
-    a, b = ({b"\n".join(p) for p, _ in line_dedup.chunks(b"\n".join(x), hashes)} for x in (lines, [b"new", *lines[:30], b"other", *lines[30:]]))
+    lines = [prose(k, 6) for k in range(60)]
+
+    def chunks(own):
+        flat, starts = line_dedup.lines_of(pa.array(["\n".join(own)]))
+        return {tuple(own[a:b]) for a, b in zip(*line_dedup.spans(flat, starts), strict=True)}
+
+    a, b = chunks(lines), chunks(["new", *lines[:30], "other", *lines[30:]])
     assert len(a & b) >= len(a) - 3
 
 
+@pytest.mark.parametrize("length", [2, 3, 5, 8, 13, 21, 40])
+def test_planted_lines_go_wherever_they_stand(spark, length):
+    random, rows = np.random.default_rng(length), []
+    for k in range(30):
+        block = [prose(90_000 + 100 * k + j, 7) for j in range(length)]
+        for side in range(2):
+            around = [[prose(10_000 + 1000 * side + 20 * k + 10 * part + j, 6) for j in range(int(random.integers(0, 9)))] for part in range(2)]
+            rows.append((2 * k + side, "\n".join([*around[0], *block, *around[1]])))
+    found = line_dedup.line_deduplicated(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {r["doc_id"]: r["n_removed"] for r in found} == {k: length * (k % 2) for k in range(60)}
+
+
 def brute_lines(texts):
     """Lines left of each text, by all runs of two or more lines and 32 solid bytes."""
     seen, out = {}, []
@@ -179,3 +175,57 @@ def test_repeated_passages_go_whole(spark):
     found = substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r["doc_id"]: r["spans"] for r in found} == expected
     assert all(r["removed_words"] == sum(b - a for a, b in r["spans"]) for r in found)
+
+
+def edited(words, every, random):
+    out = []
+    for k, word in enumerate(words):
+        kind = int(random.integers(0, 3)) if every and random.random() < 1 / every else -1
+        out += {0: [f"changed{k}"], 1: [word, f"added{k}"], 2: []}.get(kind, [word])
+    return out
+
+
+@pytest.mark.parametrize(("length", "every"), [(35, 0), (51, 0), (150, 0), (51, 40), (100, 40), (150, 40), (80, 20), (150, 20)])
+def test_edited_passages_go_wherever_they_stand(spark, length, every):
+    random, rows, inside = np.random.default_rng(1000 * length + every), [], {}
+    for k in range(40):
+        passage = prose(100_000 + 7 * k + length, length).split(" ")
+        sides = [[prose(60_000 * (1 + side) + 100 * part + k, int(random.integers(1, 90))).split(" ") for part in range(2)] for side in range(2)]
+        copy = edited(passage, every, random)
+        rows += [(2 * k, " ".join([*sides[0][0], *passage, *sides[0][1]])), (2 * k + 1, " ".join([*sides[1][0], *copy, *sides[1][1]]))]
+        inside[2 * k + 1] = set(range(len(sides[1][0]), len(sides[1][0]) + len(copy)))
+    found = substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(7)).collect()
+    gone = {r["doc_id"]: {w for a, b in r["spans"] for w in range(a, b)} for r in found}
+    assert all(not gone[2 * k] for k in range(40))
+    assert sum(len(gone[k] & inside[k]) for k in inside) >= 0.9 * sum(map(len, inside.values()))
+    assert all(len(gone[k] - inside[k]) <= 6 for k in inside)
+
+
+def test_passages_equal_brute_force(spark):
+    random = np.random.default_rng(6)
+    blocks = [prose(40_000 + k, int(random.integers(28, 80))).split(" ") for k in range(12)]
+    rows, held = [], {}
+    for k in range(50):
+        words, at = prose(41_000 + k, int(random.integers(1, 60))).split(" "), []
+        for b in random.choice(len(blocks), 3, replace=False).tolist() if k % 5 else []:
+            at.append((b, len(words), len(words) + len(blocks[b])))
+            words += [*blocks[b], f"end{k}x{b}", *prose(42_000 + 20 * k + b, int(random.integers(1, 40))).split(" ")]
+        rows.append((k, " ".join(words)))
+        held[k] = at
+    words = {k: t.split(" ") for k, t in rows}
+
+    def covered(k):
+        """Words of a document in runs of 20 words that an earlier document has as well."""
+        earlier = {tuple(words[j][i : i + 20]) for j in range(k) for i in range(len(words[j]) - 19)}
+        return {w for i in range(len(words[k]) - 19) if tuple(words[k][i : i + 20]) in earlier for w in range(i, i + 20)}
+
+    first = {}
+    for k in sorted(held):
+        for b, _, _ in held[k]:
+            first.setdefault(b, k)
+    for partitions in (1, 9):
+        found = substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(partitions)).collect()
+        for r in found:
+            k = r["doc_id"]
+            assert {w for a, b in r["spans"] for w in range(a, b)} == covered(k)
+            assert set(r["cluster_ids"]) == {first[b] for b, _, _ in held[k] if first[b] != k}
