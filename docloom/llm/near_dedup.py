@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import Cuts, WordHashes, column, prepare, rows, shingle_set, signed, utf8
+from docloom.llm.common import Cuts, column, hashed_words, prepare, rows, shingle_set, signed
 from docloom.llm.linkage import linked
 
 EXACT = 512
@@ -53,11 +53,11 @@ def node_of(items: np.ndarray) -> int:
 
 def sketched(docs: DataFrame, k: int, words: int) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
             ns, nodes, retained = [], [], []
-            for text in utf8(batch, "text"):
-                items = shingle_set(hashes.of(text.lower().split()), words) if text else np.empty(0, np.uint64)
+            hashes, starts = hashed_words(column(batch, "text"))
+            for a, b in zip(starts.tolist(), starts[1:].tolist(), strict=False):
+                items = shingle_set(hashes[a:b], words)
                 ns.append(len(items))
                 nodes.append(node_of(items))
                 retained.append(items[:k].view(np.int64))
@@ -68,11 +68,11 @@ def sketched(docs: DataFrame, k: int, words: int) -> DataFrame:
 
 def full_sets(docs: DataFrame, words: int) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
             nodes, ns, sets, sketches = [], [], [], []
-            for text in utf8(batch, "text"):
-                items = shingle_set(hashes.of(text.lower().split()), words) if text else np.empty(0, np.uint64)
+            hashes, starts = hashed_words(column(batch, "text"))
+            for a, b in zip(starts.tolist(), starts[1:].tolist(), strict=False):
+                items = shingle_set(hashes[a:b], words)
                 nodes.append(node_of(items))
                 ns.append(len(items))
                 sets.append(items.tobytes())
