@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import re
 import tempfile
-import time
 import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,13 +64,6 @@ class Cuts:
             path = jvm.org.apache.hadoop.fs.Path(self.made[id(frame)][0])
             path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
-    def release(self) -> None:
-        """Let Spark's cleaner delete shuffle files of finished jobs, once nothing in the driver refers to them."""
-        gc.collect()  # frames in reference cycles hold their plans in the JVM
-        for _ in range(2):  # the listener bus holds the last plan for a moment, and files are deleted in the background
-            self.spark._jvm.System.gc()
-            time.sleep(0.5)
-
 
 def utf8(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
     """A text column as bytes, without decoding."""
@@ -121,21 +111,6 @@ def hashed_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return hashed_strings(words)[0][full], before[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
 
 
-class WordHashes(dict):
-    """64-bit hash of a word's bytes, remembered for a bounded number of words."""
-
-    LIMIT = 600_000
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
-
-
 _STEP = np.uint64(_BASE)
 
 
