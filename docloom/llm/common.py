@@ -176,7 +176,11 @@ def in_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa
         yield pa.Table.from_batches(held)
 
 
+def text_bytes(frame: DataFrame, text: str) -> int:
+    """Bytes of a text column and 16 for each row; one pass over the lengths."""
+    return int(frame.agg(F.sum(F.coalesce(F.octet_length(F.col(text)), F.lit(0)) + F.lit(16)).alias("n")).first()["n"] or 0)
+
+
 def partitions_for(frame: DataFrame, text: str, target_bytes: int, least: int = 1) -> int:
-    """How many partitions hold `target_bytes` of text each; one pass over the column's lengths."""
-    total = frame.agg(F.sum(F.octet_length(F.col(text)) + F.lit(16)).alias("n")).first()["n"] or 0
-    return max(least, -(-int(total) // target_bytes))
+    """How many partitions hold `target_bytes` of text each."""
+    return max(least, -(-text_bytes(frame, text) // target_bytes))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 
 from docloom.llm.common import column, prepare, rows
 from docloom.llm.token_output import ordered
-from docloom.llm.tokens import END_ID, default_vocabulary, sentence_ends, word_tokens
+from docloom.llm.tokens import default_vocabulary, sentence_ends, word_tokens
 
 WINDOW = 4096
 STRIDE = 64
@@ -136,16 +136,16 @@ def packed(docs: DataFrame, vocabulary: str | None = None, partition_bytes: int
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        tokens, keys, encoded = word_tokens(vocabulary), [], []
-        for batch in batches:
-            keys += column(batch, "doc_id").to_pylist()
-            encoded += tokens.encode(column(batch, "text").to_pylist())
+        keys: list[int | None] = []
+
+        def texts() -> Iterator[pa.Array]:
+            for batch in batches:
+                keys.extend(column(batch, "doc_id").to_pylist())
+                yield column(batch, "text")
+
+        ids, lengths = word_tokens(vocabulary).stream(texts())
         if not keys:
             return
-        end = np.uint32(END_ID).astype("<u4").tobytes()
-        ids = np.frombuffer(end.join([*encoded, b""]), dtype="<u4")
-        lengths = np.array([len(e) // 4 + 1 for e in encoded], dtype=np.int64)
-        del encoded
         ends = windows(lengths, ids, sentence_ends(vocabulary))
         out = pieces(keys, lengths, ids, ends, TaskContext.get().partitionId() << 32)
         for at in range(0, out.num_rows, 10_000):

@@ -1,15 +1,17 @@
 """Token-id shard files compressed by Re-Pair grammars, with random access.
 
 Documents are dealt by range of doc_id into shards of bounded size, encoded, and every document ends with id 2.
-Per shard the grammar is grown in rounds: all adjacent pairs are counted, the most frequent pairs that do not
-overlap one another become nonterminals, and their occurrences are replaced from the left; this goes on until no
-pair repeats `least` times or the gain of a round is small. No rule contains the end id, so each document is a run
-of symbols of its own. A shard file is one binary value of a Parquet table in the shared folder (Spark's committer
-writes it, so a lost executor leaves no half file). Layout, all little-endian: "RPG1", counts (rules, symbols,
-documents, ids), rules as uint32 pairs, expansion lengths as uint32, symbols as uint32, doc_ids as int64, the symbol
-offset of each document as int64, and the number of ids before each document as int64.
-
-Null texts are empty (one end id). Null doc_ids come first. Rows with equal doc_id are ordered by their text's hash.
+Per shard the grammar is grown in rounds: all adjacent pairs are counted, the most frequent pairs become nonterminals,
+and their occurrences are replaced from the left; this goes on until no pair occurs `least` times (a rule costs three
+numbers, so a pair of fewer occurrences would not pay). A round replaces many pairs, the next one counts what is left. No
+rule contains the end id, so each document is a run of symbols of its own. A shard file is one binary value of a Parquet
+table in the shared folder (Spark's committer writes it, so a lost executor leaves no half file). Layout, all
+little-endian: "RPG1", counts (rules, symbols, documents, ids), rules as uint32 pairs, expansion lengths as uint32, symbols
+as uint32, doc_ids as int64, the symbol offset of each document as int64, and the number of ids before each document as
+int64.
+
+Null texts are empty (one end id). Null doc_ids come first. Rows with equal doc_id are ordered by their text's hash. Other
+columns, whatever their names, are ignored. A document longer than a shard is a shard of its own, held by one task.
 """
 
 from __future__ import annotations
@@ -21,10 +23,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import uuid
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.common import column, partitions_for, prepare, rows, shared_dir
+from docloom.llm.common import column, partitions_for, prepare, rows, shared_dir, text_bytes
 from docloom.llm.tokens import END_ID, default_vocabulary, word_tokens
 
 #: Ids below this are terminals; nonterminal k is FIRST_RULE + k.
@@ -37,7 +39,7 @@ _NULL_ID = -(1 << 63)
 _HEAD = struct.Struct("<4sQQQQ")
 
 
-def ordered(docs: DataFrame, target_bytes: int = SHARD_BYTES) -> DataFrame:
+def ordered(docs: DataFrame, target_bytes: int) -> DataFrame:
     """doc_id and text dealt into ranges of ascending doc_id of about that many bytes, sorted within each."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     tie = F.xxhash64("text")
@@ -59,14 +61,12 @@ def _replaced(ids: np.ndarray, pair_of: np.ndarray, hit: np.ndarray) -> np.ndarr
     return ids[keep]
 
 
-def repair(ids: np.ndarray, least: int = 8, rounds: int = 8, per_round: int = 4096, gain: float = 0.01) -> tuple[np.ndarray, np.ndarray]:
+def repair(ids: np.ndarray, least: int = 8, per_round: int = 32768) -> tuple[np.ndarray, np.ndarray]:
     """Symbols and rules (k, 2) of a Re-Pair grammar of ids; the end id stands in no rule."""
     ids = ids.astype(np.uint32)
     rules: list[np.ndarray] = []
     made = 0
-    for _ in range(rounds):
-        if len(ids) < 2:
-            break
+    while len(ids) > 1:
         left, right = ids[:-1], ids[1:]
         slots = ((left * _MIX[0]) ^ right) * _MIX[1] >> _SHIFT
         slots[(left == END_ID) | (right == END_ID)] = _SLOTS
@@ -97,12 +97,9 @@ def repair(ids: np.ndarray, least: int = 8, rounds: int = 8, per_round: int = 40
         symbol = of_slot[at]
         symbol[~own] = number[len(own_slots) :][which]
         chosen = symbol >= 0
-        before = len(ids)
         ids = _replaced(ids, symbol[chosen], often[chosen])
         rules.append(np.stack([pairs[best] >> 32, pairs[best] & 0xFFFFFFFF], axis=1))
         made += len(best)
-        if before - len(ids) < gain * before:
-            break
     table = np.concatenate(rules) if rules else np.empty((0, 2), dtype=np.int64)
     return ids.astype("<u4"), table.astype("<u4")
 
@@ -148,19 +145,14 @@ def rule_lengths(rules: np.ndarray) -> np.ndarray:
     return lengths.astype("<u4")
 
 
-def pack_shard(doc_ids: list[int | None], encoded: list[bytes]) -> bytes:
-    """One shard file of documents' ids (each without its end id)."""
-    end = np.uint32(END_ID).astype("<u4").tobytes()
-    ids = np.frombuffer(end.join([*encoded, b""]), dtype="<u4")
+def pack_shard(doc_ids: list[int | None], ids: np.ndarray, counts: np.ndarray) -> bytes:
+    """One shard file of documents' ids, of which each document has counts with its end id."""
     symbols, rules = repair(ids)
     lengths = rule_lengths(rules)
-    ends = np.flatnonzero(symbols == END_ID)
     # The tokenizer itself may give id 2, so documents are told apart by their lengths, not by the end id alone.
-    counts = np.array([len(e) // 4 + 1 for e in encoded], dtype=np.int64)
     starts = np.concatenate([[0], np.cumsum(counts)])[:-1]
     end_positions = np.cumsum(symbol_sizes(symbols.astype(np.int64), lengths))
     offsets = np.searchsorted(end_positions, starts, side="right")
-    assert len(ends) >= len(encoded)
     keys = np.array([_NULL_ID if d is None else d for d in doc_ids], dtype="<i8")
     head = _HEAD.pack(b"RPG1", len(rules), len(symbols), len(keys), len(ids))
     return b"".join([head, rules.tobytes(), lengths.tobytes(), symbols.tobytes(), keys.tobytes(), offsets.astype("<i8").tobytes(), starts.astype("<i8").tobytes()])
@@ -202,22 +194,30 @@ class Shard:
 _FILES = pa.schema([("shard", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("data", pa.binary())])
 
 
-def write_shards(docs: DataFrame, path: str, vocabulary: str | None = None, target_bytes: int = SHARD_BYTES) -> None:
+def shard_bytes(total: int) -> int:
+    """A shard's size: 6 MB, more for corpora of which that would make over 100,000 shards, 64 MB at most."""
+    return min(64 << 20, max(SHARD_BYTES, total // 100_000))
+
+
+def write_shards(docs: DataFrame, path: str, vocabulary: str | None = None, target_bytes: int | None = None) -> None:
     """Write one shard file for each range of doc_id to a Parquet table at path."""
     prepare(docs.sparkSession)
     vocabulary = vocabulary or default_vocabulary()
+    target_bytes = target_bytes or shard_bytes(text_bytes(docs, "text"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        tokens, keys, encoded = word_tokens(vocabulary), [], []
-        for batch in batches:
-            keys += column(batch, "doc_id").to_pylist()
-            encoded += tokens.encode(column(batch, "text").to_pylist())
+        keys: list[int | None] = []
+
+        def texts() -> Iterator[pa.Array]:
+            for batch in batches:
+                keys.extend(column(batch, "doc_id").to_pylist())
+                yield column(batch, "text")
+
+        ids, counts = word_tokens(vocabulary).stream(texts())
         if keys:
-            data = pack_shard(keys, encoded)
-            count = sum(len(e) // 4 + 1 for e in encoded)
-            yield rows(_FILES, shard=[TaskContext.get().partitionId()], n_docs=[len(keys)], n_ids=[count], data=[data])
+            yield rows(_FILES, shard=[TaskContext.get().partitionId()], n_docs=[len(keys)], n_ids=[len(ids)], data=[pack_shard(keys, ids, counts)])
 
     ordered(docs, target_bytes).mapInArrow(work, "shard long, n_docs long, n_ids long, data binary").write.parquet(path)
 
@@ -238,19 +238,14 @@ def read_shards(frame: DataFrame) -> DataFrame:
     return frame.select("shard", "data").mapInArrow(work, "shard long, doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def token_files(docs: DataFrame, path: str | None = None, vocabulary: str | None = None, target_bytes: int = SHARD_BYTES) -> DataFrame:
+def token_files(docs: DataFrame, path: str | None = None, vocabulary: str | None = None, target_bytes: int | None = None) -> DataFrame:
     """Write the shard files, read them back and return doc_id, start, n_tokens, ids_crc32 of every document."""
     spark = prepare(docs.sparkSession)
     path = path or f"{shared_dir(spark)}/token-shards-{uuid.uuid4().hex}"
     write_shards(docs, path, vocabulary, target_bytes)
     files = spark.read.schema("shard long, n_docs long, n_ids long, data binary").parquet(path)
-    # One small row a shard; a running sum over them gives the ids before each shard.
-    counts = files.select("shard", "n_ids").orderBy("shard").collect()
-    before, total = [], 0
-    for row in counts:
-        before.append((row["shard"], total))
-        total += row["n_ids"]
-    offsets = spark.createDataFrame(before, "shard long, before long")
-    spread = files.repartition(max(1, len(before)), "shard") if len(before) > 1 else files
-    read = read_shards(spread)
-    return read.join(F.broadcast(offsets), "shard").select("doc_id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
+    # One number a shard, of which shard_bytes bounds the count; a running sum gives the ids before each shard.
+    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = files.select("shard", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("before"))
+    read = read_shards(files)
+    return read.join(offsets, "shard").select("doc_id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterable
 from functools import lru_cache
 from itertools import filterfalse
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer, pre_tokenizers
 
 END_ID = 2
@@ -98,22 +101,47 @@ class WordTokens:
             self.known[part] = self._encode([part])[0]
         return self.known[part]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in order, and how many each text has. A null text has none.
+
+        Each distinct run of a batch is looked up once; the rest is Arrow and numpy."""
+        texts = pc.fill_null(texts.cast(pa.string()), "")
         if not self.by_run:
-            return self._encode(texts)
-        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+            parts = self._encode(texts.to_pylist())
+            return np.frombuffer(b"".join(parts), dtype="<u4"), np.array([len(p) // 4 for p in parts], dtype=np.int64)
+        lists = pc.ascii_split_whitespace(texts)
+        coded = lists.flatten().dictionary_encode()
+        runs = coded.dictionary.to_numpy(zero_copy_only=False).tolist()  # much faster than to_pylist
         known = self.known
         if len(known) > self.LIMIT:
             known.clear()
-        found = [list(map(known.get, runs)) for runs in split]
-        gaps = [[k for k, ids in enumerate(held) if ids is None] if None in held else [] for held in found]
-        new = {runs[k] for runs, at in zip(split, gaps, strict=True) for k in at}
-        once = self._learn(new) if new else {}
-        for runs, held, at in zip(split, found, gaps, strict=True):
-            for k in at:
-                ids = known.get(runs[k])
-                held[k] = once[runs[k]] if ids is None else ids
-        return list(map(b"".join, found))
+        known[""] = b""
+        parts = list(map(known.get, runs))
+        gaps = [k for k, ids in enumerate(parts) if ids is None]
+        once = self._learn({runs[k] for k in gaps}) if gaps else {}
+        for k in gaps:
+            ids = known.get(runs[k])
+            parts[k] = once[runs[k]] if ids is None else ids
+        sizes = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) // 4
+        begins = np.cumsum(sizes) - sizes
+        codes = coded.indices.to_numpy()
+        n = sizes[codes]
+        before = np.concatenate([[0], np.cumsum(n)])
+        at = np.repeat(begins[codes] - before[:-1], n) + np.arange(int(before[-1]))
+        bounds = before[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+        return np.frombuffer(b"".join(parts), dtype="<u4")[at], np.diff(bounds)
+
+    def stream(self, texts: Iterable[pa.Array]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts with the end id after each, and the lengths of the texts with it."""
+        found = [self.encode(t) for t in texts]
+        if not found:
+            return np.empty(0, dtype="<u4"), np.empty(0, dtype=np.int64)
+        lengths = np.concatenate([c for _, c in found]) + 1
+        ids = np.full(int(lengths.sum()), END_ID, dtype="<u4")
+        own = np.ones(len(ids), dtype=bool)
+        own[np.cumsum(lengths) - 1] = False
+        ids[own] = np.concatenate([i for i, _ in found])
+        return ids, lengths
 
 
 _LOADED: dict[str, WordTokens] = {}
