@@ -7,6 +7,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -44,11 +45,15 @@ def shared_dir(spark: SparkSession) -> str:
     return set_dir.rstrip("/")
 
 
+_OPEN: list[Cuts] = []
+
+
 class Cuts:
     """Lineage cuts: tables written to the shared folder and read again, dropped when a later one replaces them."""
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark, self.root, self.made = spark, f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}", {}
+        _OPEN.append(self)
 
     def cut(self, frame: DataFrame) -> DataFrame:
         path = f"{self.root}/{len(self.made):03d}"
@@ -59,10 +64,40 @@ class Cuts:
 
     def drop(self, *frames: DataFrame) -> None:
         """Delete cut tables that no later result reads."""
-        jvm = self.spark._jvm
         for frame in frames:
-            path = jvm.org.apache.hadoop.fs.Path(self.made[id(frame)][0])
-            path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+            remove_folder(self.spark, self.made[id(frame)][0])
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Removes the cuts made inside; for callers that write an operator's result before the end."""
+    before = len(_OPEN)
+    try:
+        yield
+    finally:
+        while len(_OPEN) > before:
+            cuts = _OPEN.pop()
+            remove_folder(cuts.spark, cuts.root)
+
+
+#: At most this many keys are taken out as hot and broadcast, and none with fewer rows than the least.
+HOT_KEYS, HOT_ROWS = 2048, 1000
+
+
+def split_join(left: DataFrame, right: DataFrame, key: str, total: int) -> DataFrame:
+    """left joined with right (one row a key, n of them in left's total rows) by key, without n.
+
+    Keys that hold more than one in HOT_KEYS of all rows are fewer than HOT_KEYS, so their few rows of right are broadcast
+    and left's stay where they are; the rest is a merge join, whose largest key is small."""
+    bound = max(HOT_ROWS, total // HOT_KEYS)
+    hot, cold = F.broadcast(right.filter(F.col("n") > bound).drop("n")), right.filter(F.col("n") <= bound).drop("n")
+    rest = left.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return left.join(hot, key).unionByName(rest.join(cold.hint("merge"), key))
 
 
 def utf8(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
