@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm import decontaminate, line_dedup, near_dedup, packing, toxicity
-from docloom.llm.common import prepare, shared_dir, table
+from docloom.llm.common import prepare, remove_folder, scratch, shared_dir, table
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,9 +29,15 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five-word shingles, similarity 0.8) the smallest doc_id stays."""
-    gone = near_dedup.near_duplicates(docs, words=5).filter("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of near-duplicates (four-word shingles, similarity 0.8) the smallest doc_id stays.
+
+    Rows equal in doc_id and text are one document, of which one row stays; of two texts under one doc_id only the one that
+    is a near copy of a smaller doc_id goes, or of two copies one. Rows without doc_id stay. A text without words has no
+    copies."""
+    marked = docs.withColumn("__mark", F.xxhash64("text"))
+    single = marked.filter("doc_id is not null").dropDuplicates(["doc_id", "__mark"])
+    gone = near_dedup.near_duplicates(docs).filter("not first and doc_id is not null").select("doc_id", F.col("mark").alias("__mark")).distinct()
+    return single.join(gone.hint("merge"), ["doc_id", "__mark"], "left_anti").unionByName(marked.filter("doc_id is null")).select(*docs.columns)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +59,7 @@ STAGES = [
     ("packing", into_sequences),
 ]
 
-#: The classifier, the content-defined chunks and the tokenizer can't be written in SQL.
+#: The classifier, the line chunks and the tokenizer can't be written in SQL.
 ORACLE_SQL = None
 
 
@@ -61,7 +67,10 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     root = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        out.write.parquet(f"{root}/{k}")
+        with scratch():
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(f"{root}/{k}")
         docs = spark.read.schema(out.schema).parquet(f"{root}/{k}")
+        if k:
+            remove_folder(spark, f"{root}/{k - 1}")
     return docs
