@@ -1,10 +1,14 @@
 """Links of similar sets without all pairs of a group: candidate lists, verification and components.
 
-Lists of items that share a rare key are compared inside tasks on sketches. Sets that fit the sketch are decided there
-exactly, larger ones by an estimate. A first round sends on only a spanning forest of each list, exact links before
-estimated ones, so a group of n near copies yields n - 1 pairs and not n * n. After these are verified, a second round
-compares exhaustively the larger sets that lie in different components. No partner is capped.
-A list of more than BLOCK items is dealt out as pairs of blocks, so no task holds a whole hot list.
+Lists of items that share a rare key are compared inside tasks on sketches. Sets that fit the sketch are decided there,
+larger ones by an estimate. A first round sends on only a spanning forest of each list, exact links before estimated ones,
+so a group of n near copies yields n - 1 pairs and not n * n. A list of more than BLOCK items is dealt out in blocks, so no
+task holds a whole hot list: first each block alone, then one representative of each component that a block found, and
+then all pairs of blocks of those lists that still hold several components. A family of n near copies so takes n * BLOCK
+comparisons and not n * n, and only lists of unlike items are compared whole. After the forests are verified on full sets,
+a last round compares exhaustively, in lists that still hold several components, the larger sets and the lists where a
+pair was refused (an overlap is counted on 32-bit halves there, so a chance match could have taken a true link's place).
+No partner is capped.
 """
 
 from __future__ import annotations
@@ -22,10 +26,13 @@ BLOCK = 512
 _PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def blocked(entries: DataFrame) -> DataFrame:
-    """(key, cnt, node, ...) to rows for each pair of blocks (i, j) of a list; cnt bounds the list's length."""
+def blocked(entries: DataFrame, alone: bool = False) -> DataFrame:
+    """(key, cnt, node, ...) to rows for each pair of blocks (i, j) of a list, or for each block with itself; cnt bounds the
+    list's length."""
     blocks = F.ceil(F.col("cnt") / F.lit(BLOCK)).cast("int")
     own = F.pmod(F.xxhash64("node", F.lit(7)), blocks.cast("long")).cast("int")
+    if alone:
+        return entries.withColumn("own", own).withColumn("i", F.col("own")).withColumn("j", F.col("own")).drop("cnt")
     return (
         entries.withColumn("own", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - F.lit(1))))
@@ -74,8 +81,6 @@ def _list_pairs(group: pa.Table, rule: Callable, confirm: Callable, exact_size:
     if i != j:
         fits &= own[left] != own[right]
     large = np.maximum(sizes[left], sizes[right]) > exact_size
-    if every:
-        fits &= large  # smaller pairs were decided in the first round
     left, right, common, large = left[fits], right[fits], common[fits], large[fits]
     if every:
         for a, b in zip(left.tolist(), right.tolist(), strict=True):
@@ -166,21 +171,38 @@ def components(edges: DataFrame, cuts: Cuts) -> DataFrame:
     return labels
 
 
+def _marked(entries: DataFrame, labels: DataFrame) -> DataFrame:
+    return entries.drop("comp").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+
+
+def _open_keys(marked: DataFrame) -> DataFrame:
+    return marked.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.max("n").alias("largest")).filter(F.col("least") != F.col("most"))
+
+
 def linked(entries: DataFrame, rule: Callable, confirm: Callable, exact_size: int, sets: DataFrame, percent: int, cuts: Cuts) -> DataFrame:
     """(node, comp) of entries (key, cnt, node, n, sketch); nodes without a link may be missing.
 
     rule and confirm must be exact for pairs of sets of at most exact_size items, and may not refuse a linked pair."""
-    first = cuts.cut(list_pairs(blocked(entries.withColumn("comp", F.col("node"))), rule, confirm, exact_size, every=False))
-    edges = cuts.cut(verified(first, sets, percent))
+    tried = cuts.cut(list_pairs(blocked(entries.withColumn("comp", F.col("node")), alone=True), rule, confirm, exact_size, every=False))
+    edges = cuts.cut(verified(tried, sets, percent))
     labels = components(edges, cuts)
-    marked = entries.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    by_key = marked.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.max("n").alias("largest"))
-    open_keys = by_key.filter((F.col("least") != F.col("most")) & (F.col("largest") > exact_size)).select("key")
-    rest = list_pairs(blocked(marked.join(open_keys, "key", "left_semi")), rule, confirm, exact_size, every=True)
-    untested = cuts.cut(rest.join(first, ["a", "b"], "left_anti"))
-    more = cuts.cut(verified(untested, sets, percent))
-    cuts.drop(untested, first)
-    if more.isEmpty():
-        return labels
-    cuts.drop(labels)
-    return components(edges.union(more), cuts)
+    long = entries.filter(F.col("cnt") > BLOCK)
+    if not long.isEmpty():
+        # One item of each component stands for it; then what is left of lists that still hold several components.
+        chosen = _marked(long, labels).groupBy("key", "comp").agg(F.min_by(F.struct("node", "n", "sketch"), "node").alias("r"))
+        chosen = cuts.cut(chosen.select("key", "comp", "r.*"))
+        counted = chosen.join(chosen.groupBy("key").agg(F.count("*").alias("cnt")).filter("cnt > 1"), "key")
+        for step in (0, 1):
+            pool = counted if step == 0 else _marked(long, labels).join(_open_keys(_marked(long, labels)).select("key"), "key", "left_semi")
+            more = cuts.cut(list_pairs(blocked(pool), rule, confirm, exact_size, every=False).join(tried, ["a", "b"], "left_anti"))
+            tried = tried.union(more)
+            edges = edges.union(cuts.cut(verified(more, sets, percent)))
+            labels = components(edges, cuts)
+    marked = _marked(entries, labels)
+    refused = tried.join(edges, ["a", "b"], "left_anti").select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    doubtful = entries.join(refused, "node", "left_semi").select("key").distinct()
+    still = cuts.cut(_open_keys(marked))
+    keys = still.filter(F.col("largest") > exact_size).select("key").union(still.join(doubtful, "key", "left_semi").select("key")).distinct()
+    rest = list_pairs(blocked(marked.join(keys, "key", "left_semi")), rule, confirm, exact_size, every=True)
+    more = cuts.cut(verified(cuts.cut(rest.join(tried, ["a", "b"], "left_anti")), sets, percent))
+    return labels if more.isEmpty() else components(edges.union(more), cuts)

@@ -25,11 +25,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import Cuts, column, hashed_words, prepare, rows, shingle_set, signed
+from docloom.llm.common import Cuts, column, hashed_words, prepare, rows, shingle_set, signed, split_join
 from docloom.llm.linkage import linked
 
 EXACT = 512
-_SKETCHED = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("retained", pa.list_(pa.int64()))])
+_SKETCHED = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("retained", pa.list_(pa.int64()))])
 _SETS = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("items", pa.binary()), ("sketch", pa.binary())])
 
 
@@ -61,9 +61,9 @@ def sketched(docs: DataFrame, k: int, words: int) -> DataFrame:
                 ns.append(len(items))
                 nodes.append(node_of(items))
                 retained.append(items[:k].view(np.int64))
-            yield rows(_SKETCHED, doc_id=column(batch, "doc_id"), n=ns, node=nodes, retained=retained)
+            yield rows(_SKETCHED, doc_id=column(batch, "doc_id"), mark=column(batch, "mark"), n=ns, node=nodes, retained=retained)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, "doc_id long, n long, node long, retained array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text").mapInArrow(work, "doc_id long, mark long, n long, node long, retained array<long>")
 
 
 def full_sets(docs: DataFrame, words: int) -> DataFrame:
@@ -83,17 +83,19 @@ def full_sets(docs: DataFrame, words: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, k: int = 96, words: int = 4, percent: int = 80) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable), kept."""
+    """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable), kept; and mark (a hash of the text)
+    and first, which is true for one doc_id and mark of each component, and for rows that can't be linked."""
     spark = prepare(docs.sparkSession)
     cuts = Cuts(spark, "near-dedup")
     sketches = cuts.cut(sketched(docs, k, words))
     grouped = sketches.filter("n > 0 and doc_id is not null").groupBy("node")
-    reps = cuts.cut(grouped.agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("retained").alias("retained")))
-    members = cuts.cut(sketches.select("doc_id", "n", "node"))
+    reps = cuts.cut(grouped.agg(F.min("doc_id").alias("rep"), F.min_by("mark", "doc_id").alias("mark"), F.first("n").alias("n"), F.first("retained").alias("retained"), F.count("*").alias("copies")))
+    members = cuts.cut(sketches.select("doc_id", "mark", "n", "node"))
     cuts.drop(sketches)
 
     held = reps.select("node", F.explode("retained").alias("key"))
-    shared = held.join(held.groupBy("key").agg(F.count("*").alias("cnt")).filter("cnt > 1"), "key")
+    counts = cuts.cut(held.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").withColumn("cnt", F.col("n")))
+    shared = split_join(held, counts, "key", int(counts.agg(F.sum("n")).first()[0] or 0))
     by_node = shared.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("cnt", "key"))).alias("shared"))
     # Values that nobody else retains come first in the order by frequency, so they use up the prefix first.
     kept_values = F.least(F.col("n"), F.lit(k))
@@ -126,11 +128,13 @@ def near_duplicates(docs: DataFrame, k: int = 96, words: int = 4, percent: int =
         return int(np.count_nonzero(twice & (ranks < EXACT - 1))) >= least
 
     labels = linked(entries, rule, confirm, EXACT, sets, percent, cuts)
-    reach = labels.join(reps.select("node", "rep"), "node")
-    smallest = reach.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    of_node = reps.select("node", "rep").join(labels, "node", "left").join(smallest, "comp", "left")
-    of_node = cuts.cut(of_node.select("node", F.coalesce("component_id", "rep").alias("component_id")))
+    own = F.struct(F.col("rep").alias("component_id"), F.col("mark").alias("first_mark"))
+    reach = labels.join(reps.select("node", own.alias("own")), "node")
+    smallest = reach.groupBy("comp").agg(F.min("own").alias("least"))
+    of_node = reps.select("node", own.alias("own"), F.col("copies").alias("n")).join(labels, "node", "left").join(smallest, "comp", "left")
+    of_node = cuts.cut(of_node.select("node", "n", F.coalesce("least", "own").alias("least")).select("node", "n", "least.*"))
     cuts.drop(entries, sets)
-    linked_rows = members.filter("n > 0 and doc_id is not null").join(of_node, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    alone = members.filter("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return linked_rows.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    linked_rows = split_join(members.filter("n > 0 and doc_id is not null").withColumnRenamed("n", "n_shingles"), of_node, "node", members.count())
+    alone = members.filter("n = 0 or doc_id is null").select("doc_id", "mark", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("mark").alias("first_mark"))
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
+    return linked_rows.drop("node").unionByName(alone).select("doc_id", "n_shingles", "component_id", kept.alias("kept"), "mark", (kept & (F.col("mark") == F.col("first_mark"))).alias("first"))

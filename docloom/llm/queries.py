@@ -11,7 +11,7 @@ from docloom.llm.common import table
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents")).drop("mark", "first")
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,8 +3,9 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from docloom.llm import line_dedup, near_dedup, substring_dedup
+from docloom.llm import line_dedup, linkage, near_dedup, substring_dedup
 from docloom.llm.common import Cuts
 from docloom.llm.linkage import components
 from tests.llm.conftest import prose
@@ -59,6 +60,20 @@ def test_near_duplicates_in_a_large_family(spark):
     assert {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(frame).collect()} == expected
 
 
+def test_lists_of_several_blocks(spark, monkeypatch):
+    """Lists of several blocks, of near copies and of unlike texts: equal to brute force."""
+    monkeypatch.setattr(linkage, "BLOCK", 16)
+    random, base, rows = np.random.default_rng(9), prose(21, 300).split(" "), []
+    for k in range(400):
+        words = list(base)
+        for at in random.choice(len(words), int(random.integers(0, 9)), replace=False):
+            words[at] = f"w{k}x{at}"
+        rows.append((k, " ".join(words)))
+    rows += [(1000 + k, " ".join(base[:40] + prose(5000 + k, 60).split(" "))) for k in range(60)]  # share values, aren't alike
+    found = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == brute({k: shingles(t) for k, t in rows})
+
+
 def test_near_duplicates_about_the_sketch_size(spark):
     """Sets of 70 to 100 shingles with a few words changed, and sets inside others."""
     texts, random = [], np.random.default_rng(3)
@@ -77,6 +92,22 @@ def test_near_duplicates_about_the_sketch_size(spark):
     assert {r["doc_id"]: r["component_id"] for r in found.collect()} == expected
 
 
+def test_blocks_alone_take_linear_work(spark):
+    entries = spark.range(20_000).select(F.lit(5).alias("key"), F.lit(20_000).alias("cnt"), F.col("id").alias("node"))
+    sizes = [r["count"] for r in linkage.blocked(entries, alone=True).groupBy("key", "i", "j").count().collect()]
+    assert sum(sizes) == 20_000 and max(sizes) < 2 * linkage.BLOCK
+
+
+def test_texts_of_one_id_stay_apart(spark):
+    import corpus_pipeline
+
+    a, b = prose(31, 60), prose(32, 60)
+    rows = [(1, a), (2, a), (2, b), (3, b + " x"), (4, None), (4, None), (5, ""), (None, a), (6, b), (6, b)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = corpus_pipeline.without_near_duplicates(spark, docs, "").collect()
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in kept) == sorted([(0, a), (1, a), (2, b), (4, ""), (5, "")])
+
+
 @pytest.mark.parametrize("operator", [near_dedup.near_duplicates, substring_dedup.repeated_passages, line_dedup.line_deduplicated])
 def test_empty_tables(empty, operator):
     assert operator(empty).count() == 0
