@@ -3,12 +3,12 @@
 Lists of items that share a rare key are compared inside tasks on sketches. Sets that fit the sketch are decided there,
 larger ones by an estimate. A first round sends on only a spanning forest of each list, exact links before estimated ones,
 so a group of n near copies yields n - 1 pairs and not n * n. A list of more than BLOCK items is dealt out in blocks, so no
-task holds a whole hot list: first each block alone, then one representative of each component that a block found, and
-then all pairs of blocks of those lists that still hold several components. A family of n near copies so takes n * BLOCK
-comparisons and not n * n, and only lists of unlike items are compared whole. After the forests are verified on full sets,
-a last round compares exhaustively, in lists that still hold several components, the larger sets and the lists where a
-pair was refused (an overlap is counted on 32-bit halves there, so a chance match could have taken a true link's place).
-No partner is capped.
+task holds a whole hot list; in the first round each block is compared alone. Blocks are dealt anew for each key, and
+near copies share many keys, so a family of n of them falls into one component after n * BLOCK comparisons, not n * n.
+After the forests are verified on full sets, a second round compares all blocks of those lists that still hold several
+components: long lists, lists with sets larger than the sketch, and lists where a pair was refused (an overlap is counted
+on 32-bit halves, so a chance match could have taken a true link's place). No partner is capped. Sketches are joined to
+lists only where they are compared.
 """
 
 from __future__ import annotations
@@ -26,16 +26,15 @@ BLOCK = 512
 _PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def blocked(entries: DataFrame, alone: bool = False) -> DataFrame:
+def blocked(lists: DataFrame, alone: bool = False) -> DataFrame:
     """(key, cnt, node, ...) to rows for each pair of blocks (i, j) of a list, or for each block with itself; cnt bounds the
     list's length."""
     blocks = F.ceil(F.col("cnt") / F.lit(BLOCK)).cast("int")
-    own = F.pmod(F.xxhash64("node", F.lit(7)), blocks.cast("long")).cast("int")
+    dealt = lists.withColumn("own", F.pmod(F.xxhash64("node", "key"), blocks.cast("long")).cast("int"))
     if alone:
-        return entries.withColumn("own", own).withColumn("i", F.col("own")).withColumn("j", F.col("own")).drop("cnt")
+        return dealt.withColumn("i", F.col("own")).withColumn("j", F.col("own")).drop("cnt")
     return (
-        entries.withColumn("own", own)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - F.lit(1))))
+        dealt.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - F.lit(1))))
         .withColumn("i", F.least("own", "other"))
         .withColumn("j", F.greatest("own", "other"))
         .drop("other", "cnt")
@@ -58,7 +57,7 @@ def _overlaps(sketches: np.ndarray, owners: np.ndarray, count: int) -> np.ndarra
     return total
 
 
-def _list_pairs(group: pa.Table, rule: Callable, confirm: Callable, exact_size: int, every: bool) -> Iterator[tuple[int, int]]:
+def _list_pairs(group: pa.Table, rule: Callable, confirm: Callable, exact_size: int) -> Iterator[tuple[int, int]]:
     nodes = group.column("node").to_numpy()
     nodes, first = np.unique(nodes, return_index=True)
     if len(nodes) < 2:
@@ -68,7 +67,7 @@ def _list_pairs(group: pa.Table, rule: Callable, confirm: Callable, exact_size:
     comps = group.column("comp").to_numpy()[first]
     raw = group.column("sketch").combine_chunks() if group.num_rows else []
     sketches = [np.frombuffer(raw[int(k)].as_buffer(), dtype=np.uint32) for k in first]
-    i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
+    i, j, every = (group.column(c)[0].as_py() for c in ("i", "j", "every"))
     if len(nodes) == 2:
         shared = np.intersect1d(sketches[0], sketches[1], assume_unique=True).size
         left, right, common = np.array([0]), np.array([1]), np.array([shared])
@@ -103,14 +102,15 @@ def _list_pairs(group: pa.Table, rule: Callable, confirm: Callable, exact_size:
             yield int(nodes[a]), int(nodes[b])
 
 
-def list_pairs(entries: DataFrame, rule: Callable, confirm: Callable, exact_size: int, every: bool) -> DataFrame:
-    """Candidate pairs (a < b) of blocked entries (key, i, j, own, node, n, comp, sketch: little-endian uint32)."""
+def list_pairs(lists: DataFrame, sets: DataFrame, rule: Callable, confirm: Callable, exact_size: int) -> DataFrame:
+    """Candidate pairs (a < b) of blocked lists (key, i, j, own, node, comp, every); sets hold node, n and the sketch as
+    little-endian uint32. A list with every yields all its pairs of different comp, another one a forest."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a: list[int] = []
         b: list[int] = []
         for group in in_groups(batches, ["key", "i", "j"]):
-            for x, y in _list_pairs(group, rule, confirm, exact_size, every):
+            for x, y in _list_pairs(group, rule, confirm, exact_size):
                 a.append(x)
                 b.append(y)
             if len(a) > 20_000:
@@ -118,8 +118,9 @@ def list_pairs(entries: DataFrame, rule: Callable, confirm: Callable, exact_size
                 a, b = [], []
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=_PAIRS)
 
+    entries = lists.join(sets.select("node", "n", "sketch"), "node")
     dealt = entries.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return dealt.select("key", "i", "j", "own", "node", "n", "comp", "sketch").mapInArrow(work, "a long, b long").distinct()
+    return dealt.select("key", "i", "j", "own", "node", "n", "comp", "every", "sketch").mapInArrow(work, "a long, b long").distinct()
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -171,38 +172,22 @@ def components(edges: DataFrame, cuts: Cuts) -> DataFrame:
     return labels
 
 
-def _marked(entries: DataFrame, labels: DataFrame) -> DataFrame:
-    return entries.drop("comp").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-
-
-def _open_keys(marked: DataFrame) -> DataFrame:
-    return marked.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.max("n").alias("largest")).filter(F.col("least") != F.col("most"))
-
-
-def linked(entries: DataFrame, rule: Callable, confirm: Callable, exact_size: int, sets: DataFrame, percent: int, cuts: Cuts) -> DataFrame:
-    """(node, comp) of entries (key, cnt, node, n, sketch); nodes without a link may be missing.
+def linked(lists: DataFrame, rule: Callable, confirm: Callable, exact_size: int, sets: DataFrame, percent: int, cuts: Cuts) -> DataFrame:
+    """(node, comp) of lists (key, cnt, node) and sets (node, n, items, sketch); nodes without a link may be missing.
 
     rule and confirm must be exact for pairs of sets of at most exact_size items, and may not refuse a linked pair."""
-    tried = cuts.cut(list_pairs(blocked(entries.withColumn("comp", F.col("node")), alone=True), rule, confirm, exact_size, every=False))
+    first = blocked(lists, alone=True).withColumn("comp", F.col("node")).withColumn("every", F.lit(False))
+    tried = cuts.cut(list_pairs(first, sets, rule, confirm, exact_size))
     edges = cuts.cut(verified(tried, sets, percent))
     labels = components(edges, cuts)
-    long = entries.filter(F.col("cnt") > BLOCK)
-    if not long.isEmpty():
-        # One item of each component stands for it; then what is left of lists that still hold several components.
-        chosen = _marked(long, labels).groupBy("key", "comp").agg(F.min_by(F.struct("node", "n", "sketch"), "node").alias("r"))
-        chosen = cuts.cut(chosen.select("key", "comp", "r.*"))
-        counted = chosen.join(chosen.groupBy("key").agg(F.count("*").alias("cnt")).filter("cnt > 1"), "key")
-        for step in (0, 1):
-            pool = counted if step == 0 else _marked(long, labels).join(_open_keys(_marked(long, labels)).select("key"), "key", "left_semi")
-            more = cuts.cut(list_pairs(blocked(pool), rule, confirm, exact_size, every=False).join(tried, ["a", "b"], "left_anti"))
-            tried = tried.union(more)
-            edges = edges.union(cuts.cut(verified(more, sets, percent)))
-            labels = components(edges, cuts)
-    marked = _marked(entries, labels)
     refused = tried.join(edges, ["a", "b"], "left_anti").select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    doubtful = entries.join(refused, "node", "left_semi").select("key").distinct()
-    still = cuts.cut(_open_keys(marked))
-    keys = still.filter(F.col("largest") > exact_size).select("key").union(still.join(doubtful, "key", "left_semi").select("key")).distinct()
-    rest = list_pairs(blocked(marked.join(keys, "key", "left_semi")), rule, confirm, exact_size, every=True)
-    more = cuts.cut(verified(cuts.cut(rest.join(tried, ["a", "b"], "left_anti")), sets, percent))
+    doubt = sets.select("node", (F.col("n") > exact_size).alias("large")).join(refused.withColumn("refused", F.lit(True)), "node", "left")
+    doubt = doubt.select("node", (F.col("large") | F.coalesce("refused", F.lit(False))).alias("doubt")).filter("doubt")
+    marked = lists.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node")).join(doubt, "node", "left")
+    marked = cuts.cut(marked.withColumn("doubt", F.coalesce("doubt", F.lit(False))))
+    by_key = marked.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.max("doubt").alias("every"), F.max("cnt").alias("longest"))
+    still = by_key.filter((F.col("least") != F.col("most")) & (F.col("every") | (F.col("longest") > BLOCK))).select("key", "every")
+    rest = cuts.cut(blocked(marked.drop("doubt").join(still, "key")))
+    more = cuts.cut(list_pairs(rest, sets, rule, confirm, exact_size).join(tried, ["a", "b"], "left_anti"))
+    more = cuts.cut(verified(more, sets, percent))
     return labels if more.isEmpty() else components(edges.union(more), cuts)

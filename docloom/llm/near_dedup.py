@@ -111,7 +111,7 @@ def near_duplicates(docs: DataFrame, k: int = 96, words: int = 4, percent: int =
 
     wanted = listed.select(F.col("rep").alias("doc_id")).distinct()
     sets = cuts.cut(full_sets(docs.join(wanted, "doc_id", "left_semi"), words).dropDuplicates(["node"]))
-    entries = cuts.cut(listed.select("key", "cnt", "node").join(sets.select("node", "n", "sketch"), "node"))
+    lists = listed.select("key", "cnt", "node")
     least = least_overlap(EXACT, percent)
 
     def rule(n_a: np.ndarray, n_b: np.ndarray, common: np.ndarray) -> np.ndarray:
@@ -127,13 +127,13 @@ def near_duplicates(docs: DataFrame, k: int = 96, words: int = 4, percent: int =
         ranks = np.arange(len(both) - 1) - np.cumsum(twice)  # one less than the distinct union values before
         return int(np.count_nonzero(twice & (ranks < EXACT - 1))) >= least
 
-    labels = linked(entries, rule, confirm, EXACT, sets, percent, cuts)
+    labels = linked(lists, rule, confirm, EXACT, sets, percent, cuts)
     own = F.struct(F.col("rep").alias("component_id"), F.col("mark").alias("first_mark"))
     reach = labels.join(reps.select("node", own.alias("own")), "node")
     smallest = reach.groupBy("comp").agg(F.min("own").alias("least"))
     of_node = reps.select("node", own.alias("own"), F.col("copies").alias("n")).join(labels, "node", "left").join(smallest, "comp", "left")
     of_node = cuts.cut(of_node.select("node", "n", F.coalesce("least", "own").alias("least")).select("node", "n", "least.*"))
-    cuts.drop(entries, sets)
+    cuts.drop(sets)
     linked_rows = split_join(members.filter("n > 0 and doc_id is not null").withColumnRenamed("n", "n_shingles"), of_node, "node", members.count())
     alone = members.filter("n = 0 or doc_id is null").select("doc_id", "mark", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("mark").alias("first_mark"))
     kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
