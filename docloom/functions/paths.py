@@ -23,6 +23,10 @@ _TOKEN = re.compile(
 )
 
 
+class Temporal(str):
+    """The text of a date, date-time, instant or time."""
+
+
 @dataclass(frozen=True)
 class Node:
     """kind: literal, const, this, member, index, call or binary."""
@@ -119,7 +123,7 @@ class _Parser:
             return Node("literal", re.sub(r"\\(.)", lambda m: {"n": "\n", "t": "\t", "r": "\r"}.get(m[1], m[1]), text[1:-1]))
         if kind == "date":
             self.take()
-            return Node("literal", text[1:].removeprefix("T"))
+            return Node("literal", Temporal(text[1:].removeprefix("T")))
         if kind == "const":
             self.take()
             return Node("const", text[1:].strip("`"))
@@ -150,7 +154,8 @@ def parse(text: str) -> Node:
 
 @dataclass(frozen=True)
 class Value:
-    """A compiled collection. kind: items (array<variant>), bool, num (double) or text; a null scalar is empty."""
+    """A compiled collection. kind: items (array<variant>), bool, num (double), text or temporal (text); a null scalar is
+    empty."""
 
     kind: str
     column: Column
@@ -158,7 +163,7 @@ class Value:
     def items(self) -> Column:
         if self.kind == "items":
             return self.column
-        return F.when(self.column.isNull(), _none()).otherwise(F.array(self.column.cast("variant")))
+        return bound(self.column, lambda v: F.when(v.isNull(), _none()).otherwise(F.array(v.cast("variant"))))
 
 
 def _none() -> Column:
@@ -200,26 +205,33 @@ def member(items: Column, *names: str) -> Column:
     return F.flatten(F.transform(items, of))
 
 
+def bound(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with value worked out once however often `then` uses it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def _kind(v: Column) -> Column:
+    return F.schema_of_variant(v)
+
+
 def _text(v: Column) -> Column:
     """The string of a variant that is a string, else null."""
-    return F.when(F.to_json(v).startswith('"'), F.try_variant_get(v, "$", "string"))
+    return F.when(_kind(v) == "STRING", F.try_variant_get(v, "$", "string"))
 
 
 def _number(v: Column) -> Column:
-    return F.when(~F.to_json(v).rlike('^["{\\[]'), F.try_variant_get(v, "$", "double"))
+    return F.when(~_kind(v).rlike("^(STRING|ARRAY|OBJECT|BOOLEAN)"), F.try_variant_get(v, "$", "double"))
 
 
 def _only(value: Value, read: Callable[[Column], Column]) -> Column:
-    return F.when(F.size(value.column) == 1, read(F.get(value.column, F.lit(0))))
+    return bound(value.column, lambda items: F.when(F.size(items) == 1, read(F.get(items, F.lit(0)))))
 
 
 def as_bool(value: Value) -> Column:
     if value.kind == "bool":
         return value.column
     if value.kind == "items":
-        one = F.get(value.column, F.lit(0))
-        text = F.to_json(one)
-        return F.when(F.size(value.column) == 1, F.when(text == "false", F.lit(False)).otherwise(F.lit(True)))
+        return _only(value, lambda v: F.coalesce(F.when(_kind(v) == "BOOLEAN", F.try_variant_get(v, "$", "boolean")), F.lit(True)))
     return F.when(value.column.isNotNull(), F.lit(True))
 
 
@@ -240,27 +252,32 @@ def literal(value: object) -> Value:
         return Value("bool", F.lit(value))
     if isinstance(value, (int, float)):
         return Value("num", F.lit(float(value)))
-    return Value("text", F.lit(str(value)))
+    return Value("temporal" if isinstance(value, Temporal) else "text", F.lit(str(value)))
 
 
 def _equal(a: Value, b: Value) -> Column:
     kinds = {a.kind, b.kind}
+    if kinds == {"items"}:
+        texts = [F.transform(v.column, lambda x: F.to_json(x)) for v in (a, b)]
+        return bound(F.struct(texts[0].alias("x"), texts[1].alias("y")), lambda s: F.when((F.size(s["x"]) > 0) & (F.size(s["y"]) > 0), s["x"] == s["y"]))
+    if "temporal" in kinds:
+        return temporal_order(a, b, "=")
     if "bool" in kinds:
         return as_bool(a) == as_bool(b)
-    if "num" in kinds:
-        x, y = as_number(a), as_number(b)
-    elif "text" in kinds:
-        x, y = as_text(a), as_text(b)
-    else:
-        same = F.transform(a.column, lambda v: F.to_json(v)) == F.transform(b.column, lambda v: F.to_json(v))
-        return F.when((F.size(a.column) > 0) & (F.size(b.column) > 0), same)
-    here = [F.size(v.column) > 0 if v.kind == "items" else v.column.isNotNull() for v in (a, b)]
-    return F.when(here[0] & here[1], F.coalesce(x == y, F.lit(False)))
+    read = as_number if "num" in kinds else as_text
+    if "items" not in kinds:
+        return F.when(a.column.isNotNull() & b.column.isNotNull(), F.coalesce(read(a) == read(b), F.lit(False)))
+    items, other = (a, b) if a.kind == "items" else (b, a)
+    one = _number if read is as_number else _text
+    same = bound(items.column, lambda x: F.when(F.size(x) > 0, F.when(F.size(x) == 1, F.struct(one(F.get(x, F.lit(0))).alias("v"))).otherwise(F.struct(F.lit(None).alias("v")))))
+    return bound(same, lambda s: F.when(s.isNotNull() & other.column.isNotNull(), F.coalesce(s["v"] == other.column, F.lit(False))))
 
 
 def _ordered(op: str, a: Value, b: Value) -> Column:
     compare = {"<": Column.__lt__, ">": Column.__gt__, "<=": Column.__le__, ">=": Column.__ge__}[op]
     kinds = {a.kind, b.kind}
+    if "temporal" in kinds:
+        return temporal_order(a, b, op)
     if "num" in kinds:
         return compare(as_number(a), as_number(b))
     if "text" in kinds:
@@ -268,6 +285,42 @@ def _ordered(op: str, a: Value, b: Value) -> Column:
     return F.coalesce(compare(as_number(a), as_number(b)), compare(as_text(a), as_text(b)))
 
 
+#: Shapes of dates, date-times and times; a temporal value of fewer parts is less precise.
+_DATE = r"^\d{4}(-\d{2}(-\d{2}(T\d{2}(:\d{2}(:\d{2}(\.\d+)?)?)?(Z|[+-]\d{2}:\d{2})?)?)?)?$"
+_TIME = r"^\d{2}(:\d{2}(:\d{2}(\.\d+)?)?)?$"
+
+
+def temporal_parts(text: Column) -> Column:
+    """Year, month, day, then hour, minute and second as decimals, of a date or date-time; a zone moves all to UTC. Null for
+    other text. A time has its parts after three zeros."""
+    zoned = text.rlike(r"T.*(Z|[+-]\d{2}:\d{2})$")
+    whole = F.when(zoned & text.rlike(r"T\d{2}:\d{2}"), F.date_format(F.to_utc_timestamp(F.try_to_timestamp(F.regexp_replace(text, r"T(\d{2}:\d{2})(Z|[+-])", "T$1:00$2")), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
+    plain = F.coalesce(whole, F.regexp_replace(text, "Z$", ""))
+    dated = F.transform(F.split(plain, "[-T:]"), lambda p: p.cast("decimal(20,9)"))
+    timed = F.concat(F.array(*[F.lit(0).cast("decimal(20,9)")] * 3), F.transform(F.split(text, ":"), lambda p: p.cast("decimal(20,9)")))
+    return F.when(text.rlike(_DATE), dated).when(text.rlike(_TIME), timed)
+
+
+def temporal_order(a: Value, b: Value, op: str) -> Column:
+    """Comparison of typed temporals. Where one is less precise and the shared parts are equal, the answer is empty; a plain
+    text constant never equals a temporal one."""
+    if {a.kind, b.kind} & {"num", "bool"} or {a.kind, b.kind} == {"temporal", "text"}:
+        return F.lit(False) if op == "=" else F.lit(None).cast("boolean")
+    parts = [temporal_parts(v.column if v.kind == "temporal" else as_text(v)) for v in (a, b)]
+
+    def compared(s: Column) -> Column:
+        x, y = s["x"], s["y"]
+        shared = F.least(F.size(x), F.size(y))
+        p, q = F.slice(x, 1, shared), F.slice(y, 1, shared)
+        answer = {"=": p == q, "<": p < q, ">": p > q, "<=": p <= q, ">=": p >= q}[op]
+        sure = (F.size(x) == F.size(y)) | (p != q) | ((F.size(x) >= 5) & (F.size(y) >= 5))
+        here = x.isNotNull() & y.isNotNull()
+        return F.when(here & sure, answer).when(~here & s["both"], F.lit(False) if op == "=" else F.lit(None).cast("boolean"))
+
+    filled = [F.size(v.column) > 0 if v.kind == "items" else v.column.isNotNull() for v in (a, b)]
+    return bound(F.struct(parts[0].alias("x"), parts[1].alias("y"), (filled[0] & filled[1]).alias("both")), compared)
+
+
 def _binary(op: str, node: Node, scope: Scope) -> Value:
     a, b = (compiled(p, scope) for p in node.parts)
     if op == "and":

@@ -1,8 +1,9 @@
 """View definitions: declarative JSON that flattens documents into rows, compiled to one DataFrame plan.
 
-A node of the view becomes an expression for the rows of one context: an array of structs. Iteration is `transform`
-over a collection, sibling nodes multiply inside the document, unions concatenate, and recursion loops over levels with
-`aggregate`. One generator explodes the document's rows at the end, so a view needs no join and no shuffle.
+An iteration is a generator over a collection and its columns are plain expressions after it; sibling iterations follow one
+another, which multiplies their rows. A union, and a whole view whose rows are numbered inside the document, is an
+expression for the rows of one context, an array of structs, with one generator at the end. Recursion loops over levels
+with `aggregate`. So a view needs no join and no shuffle.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docloom.errors import EngineError
-from docloom.functions.paths import Scope, Value, evaluate, parse
+from docloom.functions.paths import Scope, Temporal, Value, bound, evaluate, parse
 
 MAX_DEPTH = 64
 #: Columns that the engine adds to a materialised view (fixed values).
@@ -26,6 +27,8 @@ RESERVED = ("practice_id", "row_index", "version_id", "last_updated")
 TYPES = {"boolean": T.BooleanType(), "integer": T.IntegerType(), "positiveInt": T.IntegerType(), "unsignedInt": T.IntegerType()}
 TEXT_TYPES = ("decimal", "date", "dateTime", "instant", "time", "id", "string", "code", "uri", "url", "canonical", "oid", "uuid", "markdown", "base64Binary")
 CONSTANT_KINDS = ("Base64Binary", "Boolean", "Canonical", "Code", "Date", "DateTime", "Decimal", "Id", "Instant", "Integer", "Oid", "PositiveInt", "String", "Time", "UnsignedInt", "Uri", "Url", "Uuid")
+#: Constants of these kinds are compared as dates and times (fixed values).
+TEMPORAL_KINDS = ("Date", "DateTime", "Instant", "Time")
 
 
 @dataclass(frozen=True)
@@ -101,7 +104,7 @@ def _constants(definition: dict) -> dict:
         _require(len(given) == 1 and given[0].removeprefix("value") in CONSTANT_KINDS, "VD_CONSTANT_INVALID", f"constant {constant['name']} needs exactly one value")
         value = constant[given[0]]
         _require(not isinstance(value, (dict, list)) and value is not None, "VD_CONSTANT_INVALID", f"constant {constant['name']} needs a scalar")
-        out[constant["name"]] = value
+        out[constant["name"]] = Temporal(value) if given[0].removeprefix("value") in TEMPORAL_KINDS and isinstance(value, str) else value
     return out
 
 
@@ -150,18 +153,25 @@ def view_schema(view: View) -> T.StructType:
 
 
 def _scalar(column: ViewColumn, value: Value) -> Column:
-    items = value.items()
+    kind = column.spark_type
     if column.collection:
-        return F.to_json(F.to_variant_object(items))
+        return F.to_json(F.to_variant_object(value.items()))
+    if value.kind != "items" and not column.as_json:  # one value at most, of a known type
+        text = F.to_json(value.column.cast("variant")) if value.kind in ("num", "bool") else value.column
+        return F.when(value.column.isNotNull(), text) if isinstance(kind, T.StringType) else value.column.try_cast(kind)
     error = F.raise_error(F.lit(f"VD_COLUMN_MULTIPLE_VALUES: {column.name}"))
-    one = F.get(items, F.lit(0))
-    if column.as_json:
-        read = F.to_json(one).cast("string")
-    elif isinstance(column.spark_type, T.StringType):
-        read = F.when(F.to_json(one).startswith('"'), F.try_variant_get(one, "$", "string")).otherwise(F.to_json(one))
-    else:
-        read = F.try_variant_get(one, "$", column.spark_type.simpleString())
-    return F.when(F.size(items) == 0, F.lit(None)).when(F.size(items) == 1, read).otherwise(error.cast(read_type(column)))
+
+    def read(items: Column) -> Column:
+        one = F.get(items, F.lit(0))
+        if column.as_json:
+            found = F.to_json(one).cast("string")
+        elif isinstance(kind, T.StringType):
+            found = F.when(F.schema_of_variant(one) == "STRING", F.try_variant_get(one, "$", "string")).otherwise(F.to_json(one))
+        else:
+            found = F.try_variant_get(one, "$", kind.simpleString())
+        return F.when(F.size(items) == 0, F.lit(None)).when(F.size(items) == 1, found).otherwise(error.cast(kind))
+
+    return bound(value.items(), read)
 
 
 def read_type(column: ViewColumn) -> T.DataType:
@@ -193,13 +203,16 @@ def _levels(scope: Scope, paths: list[str]) -> Column:
 
     def step(state: Column, _: Column) -> Column:
         front = F.flatten(F.transform(state["front"], lambda n: below(n["v"], n["p"]))).cast(kind)
-        return F.struct(F.concat(state["done"], front).alias("done"), front.alias("front"))
+        deeper = bound(front, lambda f: F.struct(F.concat(state["done"], f).alias("done"), f.alias("front")))
+        return F.when(F.size(state["front"]) == 0, state).otherwise(deeper)  # nothing below: the state stands as it is
+
+    def in_order(state: Column) -> Column:
+        too_deep = F.exists(state["front"], lambda n: F.length(n["p"]) > 8 * MAX_DEPTH)
+        ordered = F.array_sort(state["done"], lambda a, b: F.when(a["p"] < b["p"], -1).when(a["p"] > b["p"], 1).otherwise(0))
+        nodes = F.transform(ordered, lambda n: n["v"])
+        return F.when(too_deep, F.raise_error(F.lit("VD_REPEAT_DEPTH_EXCEEDED")).cast("array<variant>")).otherwise(nodes)
 
-    state = F.aggregate(F.sequence(F.lit(2), F.lit(MAX_DEPTH + 1)), start, step)
-    too_deep = F.exists(state["front"], lambda n: F.length(n["p"]) > 8 * MAX_DEPTH)
-    ordered = F.array_sort(state["done"], lambda a, b: F.when(a["p"] < b["p"], -1).when(a["p"] > b["p"], 1).otherwise(0))
-    nodes = F.transform(ordered, lambda n: n["v"])
-    return F.when(too_deep, F.raise_error(F.lit("VD_REPEAT_DEPTH_EXCEEDED")).cast("array<variant>")).otherwise(nodes)
+    return bound(F.aggregate(F.sequence(F.lit(2), F.lit(MAX_DEPTH + 1)), start, step), in_order)
 
 
 def _node_rows(node: dict, scope: Scope) -> Column:
@@ -213,7 +226,7 @@ def _node_rows(node: dict, scope: Scope) -> Column:
         return over(evaluate(node["forEach"], scope).items())
     if "forEachOrNull" in node:
         items = evaluate(node["forEachOrNull"], scope).items()
-        blank = Scope(F.array(F.parse_json(F.lit("{}"))), F.lit(0), scope.constants, scope.resource)
+        blank = Scope(F.array().cast("array<variant>"), F.lit(0), scope.constants, scope.resource)
         return F.when(F.size(items) > 0, over(items)).otherwise(_body_rows(node, blank).cast(kind))
     if "repeat" in node:
         return over(_levels(scope, node["repeat"]))
@@ -272,6 +285,40 @@ def _where(view: View, scope: Scope) -> Column | None:
     return condition
 
 
+def _spread(frame: DataFrame, node: dict, scope: Scope, made: dict[str, str]) -> DataFrame:
+    """frame with the node's columns (made: view column -> frame column) and a row for each of the node's rows.
+
+    An iteration is a generator and the values after it plain columns, so they are compiled code. A union becomes one
+    generator over its rows."""
+    iteration = next((k for k in ("forEach", "forEachOrNull", "repeat") if k in node), None)
+    if iteration:
+        place, value = f"__i{len(frame.columns)}", f"__v{len(frame.columns)}"
+        items = _levels(scope, node[iteration]) if iteration == "repeat" else evaluate(node[iteration], scope).items()
+        generator = F.posexplode_outer(items) if iteration == "forEachOrNull" else F.posexplode(items)
+        frame = frame.select("*", generator.alias(place, value))
+        inside, index = F.array(F.col(value)), F.col(place)
+        if iteration == "forEachOrNull":
+            inside, index = F.when(F.col(place).isNull(), F.array().cast("array<variant>")).otherwise(inside), F.coalesce(index, F.lit(0))
+        scope = Scope(inside, index, scope.constants, scope.resource)
+
+    def add(frame: DataFrame, values: dict[str, Column]) -> DataFrame:
+        names = {name: f"__c{len(frame.columns) + k}" for k, name in enumerate(values)}
+        made.update(names)
+        return frame.select("*", *[v.alias(names[name]) for name, v in values.items()])
+
+    own = [ViewColumn(c["name"], c["path"], c.get("type"), bool(c.get("collection"))) for c in node.get("column", [])]
+    if own:
+        frame = add(frame, {c.name: _scalar(c, evaluate(c.path, scope)) for c in own})
+    for child in node.get("select", []):
+        frame = _spread(frame, child, scope, made)
+    if "unionAll" in node:
+        columns = _unique(_columns_of({"unionAll": node["unionAll"]}))
+        row = f"__u{len(frame.columns)}"
+        frame = frame.select("*", F.explode(_body_rows({"unionAll": node["unionAll"]}, scope)).alias(row))
+        frame = add(frame, {c.name: F.col(row)[c.name] for c in columns})
+    return frame
+
+
 def evaluate_view(view: View | dict | str, documents: DataFrame, content: str = "content", type_column: str | None = "type", keep: tuple[str, ...] = (), row_index: bool = False) -> DataFrame:
     """Rows of a view over documents with a variant column; `keep` columns pass through. `row_index` adds the row's
     number inside its document."""
@@ -282,8 +329,13 @@ def evaluate_view(view: View | dict | str, documents: DataFrame, content: str =
     condition = _where(view, scope)
     if condition is not None:
         frame = frame.filter(condition)
-    rows = _product([(_unique(_columns_of(n)), _node_rows(n, scope)) for n in view.definition["select"]])
     kept = [F.col(c) for c in keep]
+    if not row_index and view.columns:
+        made: dict[str, str] = {}
+        for node in view.definition["select"]:
+            frame = _spread(frame, node, scope, made)
+        return frame.select(*kept, *[F.col(made[c.name]).alias(c.name) for c in view.columns])
+    rows = _product([(_unique(_columns_of(n)), _node_rows(n, scope)) for n in view.definition["select"]])
     if not view.columns:
         return frame.select(*kept)
     exploded = frame.select(*kept, F.posexplode(rows).alias("__pos", "__row")) if row_index else frame.select(*kept, F.explode(rows).alias("__row"))

@@ -152,11 +152,16 @@ def search_index_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search_params.lookup(_index(spark, sf_dir), "customer", reference="Customer/7").select("id")
 
 
-@query("SELECT p_partkey, concat_ws(' ', p_name, p_brand, p_type) AS content_text FROM part")
+@query("SELECT p_partkey, concat_ws(' ', p_name, p_brand, 'C' || p_size, p_type, CAST(p_size AS VARCHAR), 'cm', 'seen', p_brand, 'http://x/' || p_partkey, 'title') AS content_text FROM part")
 def text_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = _read(spark, sf_dir, "part")
-    coding = F.struct(F.array(F.struct(F.col("p_brand").alias("display"))).alias("coding"))
-    doc = F.struct(F.struct(F.col("p_name").alias("text"), coding["coding"].alias("coding")).alias("code"), F.col("p_type").alias("valueString"))
+    coding = F.array(F.struct(F.col("p_brand").alias("display"), F.concat(F.lit("C"), F.col("p_size")).alias("code")))
+    concept = F.struct(F.lit("seen").alias("text"), F.array(F.struct(F.col("p_brand").alias("display"), F.lit("").alias("code"))).alias("coding"))
+    file = F.struct(F.struct(F.lit("title").alias("title"), F.concat(F.lit("http://x/"), F.col("p_partkey")).alias("url")).alias("attachment"))
+    doc = F.struct(
+        F.struct(F.col("p_name").alias("text"), coding.alias("coding")).alias("code"), F.col("p_type").alias("valueString"), F.struct(F.col("p_size").alias("value"), F.lit("cm").alias("unit")).alias("valueQuantity"),
+        concept.alias("valueCodeableConcept"), F.array(file).alias("content"),
+    )
     return part.select("p_partkey", search.document_text(F.to_variant_object(doc)).alias("content_text"))
 
 
@@ -336,11 +341,14 @@ def access_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "events").select("event_id", policy.decision(rule).alias("decision"), rule.alias("rule"))
 
 
-@query("SELECT user_id, CASE WHEN max(event_type = 'purchase') THEN 'committed' WHEN max(event_type = 'error') THEN 'rejected' WHEN max(event_type = 'signup') THEN 'approved' ELSE 'proposed' END AS state FROM events GROUP BY user_id")
+@query("SELECT user_id, CASE WHEN max(event_type = 'signup') AND max(event_type = 'purchase') THEN 'committed' WHEN max(event_type = 'signup') THEN 'approved' ELSE 'proposed' END AS state FROM events GROUP BY user_id")
 def governance_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = _read(spark, sf_dir, "events")
-    action = F.when(F.col("event_type") == "purchase", "commit").when(F.col("event_type") == "error", "reject").when(F.col("event_type") == "signup", "approve").otherwise("propose")
-    return policy.proposal_states(events, events.select("user_id", action.alias("action")), "user_id")
+    action = F.when(F.col("event_type") == "purchase", "commit").when(F.col("event_type") == "signup", "approve").otherwise("propose")
+    log = events.select("user_id", action.alias("action"))
+    approved = log.filter("action = 'approve'").select("user_id").distinct().withColumn("ok", F.lit(True))
+    legal = log.join(approved, "user_id", "left").filter("action <> 'commit' or ok").drop("ok")  # a legal log has no commit without an approve
+    return policy.proposal_states(events, legal, "user_id")
 
 
 @query("SELECT s, a, CASE WHEN s = 'proposed' AND a = 'approve' THEN 'approved' WHEN s = 'proposed' AND a = 'reject' THEN 'rejected' WHEN s = 'approved' AND a = 'commit' THEN 'committed' END AS after FROM (SELECT unnest(['proposed', 'approved', 'committed', 'rejected']) AS s), (SELECT unnest(['approve', 'commit', 'reject']) AS a)")
@@ -358,10 +366,10 @@ def tenant_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts[0].unionAll(counts[1])
 
 
-@query("SELECT p_partkey, 'parts' AS system, p_type AS code, CASE WHEN p_type LIKE '%STEEL' THEN lower(p_type) END AS display, p_type LIKE '%STEEL' AS known, CASE WHEN p_type NOT LIKE '%STEEL' THEN 'unknown-code' END AS issue FROM part")
+@query("SELECT p_partkey, 'parts' AS system, p_type AS code, CASE WHEN p_type IN ('STANDARD', 'ECONOMY') THEN lower(p_type) END AS display, p_type IN ('STANDARD', 'ECONOMY') AS known, CASE WHEN p_type NOT IN ('STANDARD', 'ECONOMY') THEN 'unknown-code' END AS issue FROM part")
 def terminology_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = _read(spark, sf_dir, "part")
-    concepts = part.filter("p_type like '%STEEL'").select(F.lit("parts").alias("system"), F.col("p_type").alias("code")).distinct().withColumn("display", F.lower("code"))
+    concepts = part.filter("p_type in ('STANDARD', 'ECONOMY')").select(F.lit("parts").alias("system"), F.col("p_type").alias("code")).distinct().withColumn("display", F.lower("code"))
     return terminology.checked_codes(part.select("p_partkey", F.lit("parts").alias("system"), F.col("p_type").alias("code")), concepts)
 
 
@@ -390,7 +398,12 @@ def npi_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "orders").select("o_orderkey", npi.alias("npi")).withColumn("valid", validators.npi_valid(F.col("npi")))
 
 
-@query()
+@query("""WITH RECURSIVE d AS (SELECT [[CASE WHEN a < 5 AND b < 5 THEN (a + b) % 5 WHEN a < 5 THEN 5 + (a + b) % 5 WHEN b < 5 THEN 5 + (a - b) % 5 ELSE (a - b + 5) % 5 END FOR b IN range(0, 10)] FOR a IN range(0, 10)] AS t),
+p(k, row) AS (SELECT 0, [0, 1, 2, 3, 4, 5, 6, 7, 8, 9] UNION ALL SELECT k + 1, list_transform([1, 5, 7, 6, 2, 8, 3, 0, 9, 4], lambda x: x) FROM p WHERE k < 0),
+q(k, row) AS (SELECT 0, [0, 1, 2, 3, 4, 5, 6, 7, 8, 9] UNION ALL SELECT k + 1, list_transform(row, lambda x: [1, 5, 7, 6, 2, 8, 3, 0, 9, 4][x + 1]) FROM q WHERE k < 7),
+perm AS (SELECT list(row ORDER BY k) AS rows FROM q),
+c AS (SELECT o_orderkey, '1' || lpad(CAST(o_orderkey AS VARCHAR), 6, '0') || '10' || CAST(o_orderkey % 10 AS VARCHAR) AS code FROM orders)
+SELECT o_orderkey, code, list_reduce(list_prepend(0, list_transform(range(0, len(code)), lambda i: perm.rows[(i % 8) + 1][CAST(reverse(code)[i + 1] AS INTEGER) + 1])), lambda a, b: d.t[a + 1][b + 1]) = 0 AS valid FROM c, d, perm""")
 def verhoeff_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     code = F.concat(F.lit("1"), F.lpad(F.col("o_orderkey").cast("string"), 6, "0"), F.lit("10"), (F.col("o_orderkey") % 10).cast("string"))
     return _read(spark, sf_dir, "orders").select("o_orderkey", code.alias("code")).withColumn("valid", validators.sctid_valid(F.col("code")))

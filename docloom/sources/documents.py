@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.errors import EngineError
-from docloom.functions.validators import line_feeds
+from docloom.functions.validators import iso_millis, line_feeds
 from docloom.plans.views import View, parse_materialisable
 
 
@@ -57,6 +57,43 @@ def by_ids(frame: DataFrame, ids: DataFrame, columns: list[str]) -> DataFrame:
     return frame.join(ids.select(*columns).distinct(), columns, "left_semi")
 
 
+def by_id(frame: DataFrame, key: dict[str, object]) -> DataFrame:
+    """The one row of a key, with times as UTC text in milliseconds; a typed error if there is none."""
+    found = frame
+    for column, value in key.items():
+        found = found.filter(F.col(column) == F.lit(value))
+    if found.limit(1).isEmpty():
+        raise EngineError("RESOURCE_NOT_FOUND", "no such resource in this practice")
+    return found.select(*[iso_millis(F.col(f.name)).alias(f.name) if f.dataType.typeName() == "timestamp" else F.col(f.name) for f in frame.schema])
+
+
+def versions_by_key(current: DataFrame, history: DataFrame, asked: DataFrame, key: list[str]) -> DataFrame:
+    """Asked (key, version_id) rows of the current table where version_id is null or the head's, else of the history."""
+    rest = [c for c in history.columns if c in current.columns and c not in [*key, "version_id"]]
+    wanted = asked.select(*key, F.col("version_id").alias("__v")).distinct()
+    head = current.join(wanted, key).filter(F.col("__v").isNull() | (F.col("__v") == F.col("version_id"))).select(*key, "version_id", *rest)
+    old = history.join(wanted.filter("__v is not null").withColumnRenamed("__v", "version_id"), [*key, "version_id"], "left_semi").join(head.select(*key, "version_id"), [*key, "version_id"], "left_anti")
+    return head.unionByName(old.select(*key, "version_id", *rest)).dropDuplicates([*key, "version_id"])
+
+
+def actor_lookup(directory: DataFrame, subject: str) -> DataFrame:
+    """actor, tenant, role of a login subject, read before a tenant is bound; an unknown or repeated one has no row."""
+    found = directory.filter(F.col("subject") == subject).limit(2)
+    return found.withColumn("__n", F.lit(1)).groupBy("subject").agg(F.count("*").alias("n"), F.first("actor").alias("actor"), F.first("tenant").alias("tenant"), F.first("role").alias("role")).filter("n = 1").drop("n")
+
+
+def read_suite(text: str) -> dict:
+    """A conformance file (title, resources, tests) with its shape checked."""
+    suite = json.loads(text)
+    cases = suite.get("tests") if isinstance(suite, dict) else None
+    if not isinstance(cases, list) or not isinstance(suite.get("resources"), list):
+        raise EngineError("SUITE_INVALID", "a suite needs resources and tests")
+    for case in cases:
+        if not isinstance(case, dict) or not isinstance(case.get("view"), dict) or not ({"expect", "expectError", "expectColumns"} & set(case)):
+            raise EngineError("SUITE_INVALID", "a case needs a view and an expectation")
+    return suite
+
+
 def nested(parents: DataFrame, children: DataFrame, key: str, child_key: str, name: str, order: list[str], fields: dict[str, Column], child_fields: dict[str, Column]) -> DataFrame:
     """One struct a parent with its children in order under `name`; shuffles both sides by the key once."""
     ordered = F.struct(*[F.col(c).alias(f"__o{k}") for k, c in enumerate(order)], F.struct(*[c.alias(n) for n, c in child_fields.items()]).alias("__c"))

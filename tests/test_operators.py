@@ -98,7 +98,7 @@ def test_references_and_walk(spark):
     assert {(r["json_path"], r["target_id"], r["target_version"]) for r in edges.collect()} == {("/subject/reference", "p", None), ("/x~0~1y/0/reference", "s", "3"), ("/parent/0/reference", "s", None)}
     roots = spark.createDataFrame([("Observation", "o")], "type string, id string")
     assert {(r["target_id"], r["depth"]) for r in graph.walk(roots, edges).collect()} == {("p", 1), ("s", 1)}
-    assert graph.walk(roots, edges, profile=graph.CLINICAL_PROFILE).count() == 1 and len(graph.CLINICAL_PROFILE) == 28
+    assert graph.walk(roots, edges, profile=graph.CLINICAL_PROFILE).count() == 1 and len(graph.CLINICAL_PROFILE) == 27
     assert graph.walk(roots, edges, max_targets=1).count() == 1
     digests = graph.edge_digests(edges)
     assert {r["status"] for r in graph.compare_projection(digests, digests).collect()} == {"equal"}
