@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions.canonical import flat_canonical
@@ -18,21 +18,24 @@ def _resources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return customer.select(F.lit("t1").alias("practice_id"), F.col("c_custkey").cast("string").alias("id"), F.lit("Customer").alias("type"), F.to_variant_object(doc).alias("content"), F.to_json(doc).alias("raw"), "c_custkey", "c_name")
 
 
-_HASH = F.sha2(flat_canonical({"id": F.try_variant_get("content", "$.id", "string"), "name": F.try_variant_get("content", "$.name", "string"), "resourceType": F.col("type")}), 256)
-_NOW = F.lit("2024-01-01T00:00:00.000Z")
+_NOW = "2024-01-01T00:00:00.000Z"
+
+
+def _content_hash() -> Column:
+    return F.sha2(flat_canonical({"id": F.try_variant_get("content", "$.id", "string"), "name": F.try_variant_get("content", "$.name", "string"), "resourceType": F.col("type")}), 256)
 
 
 def _heads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The heads of customers divisible by 3, at version 4."""
     old = _resources(spark, sf_dir).filter("c_custkey % 3 = 0")
-    return old.select("practice_id", "id", "type", F.lit(4).cast("long").alias("version_id"), _NOW.alias("last_updated"), "content")
+    return old.select("practice_id", "id", "type", F.lit(4).cast("long").alias("version_id"), F.lit(_NOW).alias("last_updated"), "content")
 
 
 @query("""SELECT CAST(c_custkey AS VARCHAR) AS id, CASE WHEN c_custkey % 11 = 0 THEN 'INVALID_INPUT' WHEN c_custkey % 3 = 0 THEN 'ALREADY_EXISTS' ELSE 'created' END AS outcome,
 CASE WHEN c_custkey % 11 <> 0 AND c_custkey % 3 <> 0 THEN sha256('{"id":"' || c_custkey || '","name":"' || c_name || '","resourceType":"Customer"}') END AS content_hash,
 CASE WHEN c_custkey % 11 <> 0 AND c_custkey % 3 <> 0 THEN '{"resourceType":"Customer","id":"' || c_custkey || '","name":"' || c_name || '"}' END AS raw_payload FROM customer""")
 def store_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = store.created(_heads(spark, sf_dir), _resources(spark, sf_dir).drop("c_custkey", "c_name"), _HASH, _NOW)
+    made = store.created(_heads(spark, sf_dir), _resources(spark, sf_dir).drop("c_custkey", "c_name"), _content_hash(), F.lit(_NOW))
     rows = made["outcome"].join(made["history"].select("id", "content_hash"), "id", "left").join(made["write_inputs"].select("id", "raw_payload"), "id", "left")
     return rows.select("id", "outcome", "content_hash", "raw_payload")
 
@@ -45,7 +48,7 @@ UNION ALL SELECT 'head', CAST(c_custkey AS VARCHAR), 'Customer', CASE WHEN o.out
 def store_commit(spark: SparkSession, sf_dir: str) -> DataFrame:
     expected = F.when(F.col("c_custkey") % 5 == 0, F.lit(3)).when(F.col("c_custkey") % 7 == 0, F.lit(None)).otherwise(F.lit(4)).cast("long")
     updates = _resources(spark, sf_dir).filter("c_custkey % 2 = 0").select("practice_id", "id", "content", "raw", expected.alias("expected_version"))
-    done = store.committed(_heads(spark, sf_dir), updates, _HASH, _NOW)
+    done = store.committed(_heads(spark, sf_dir), updates, _content_hash(), F.lit(_NOW))
     parts = [
         done["outcome"].select(F.lit("outcome").alias("part"), "id", F.col("outcome").alias("value"), "version_id"),
         done["history"].select(F.lit("history").alias("part"), "id", F.col("content_hash").alias("value"), "version_id"),
