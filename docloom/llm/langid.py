@@ -35,7 +35,11 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: str) -> list[str]:
-    return _LETTERS.findall(text.lower())
+    """Runs of letters (Unicode category L); number signs such as a superscript two are none."""
+    found = _LETTERS.findall(text.lower())
+    if all(map(str.isalpha, found)):
+        return found
+    return "".join(c if c.isalpha() else " " for w in found for c in (*w, " ")).split()
 
 
 def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:

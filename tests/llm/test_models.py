@@ -140,3 +140,7 @@ def test_pipeline_stages(spark):
 def test_queries_are_registered():
     names = __spark_entry__.queries()
     assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
+
+
+def test_number_signs_are_no_letters():
+    assert langid.words_of("² ½ ① 7") == [] and langid.words_of("a²b É x1y") == ["a", "b", "é", "x", "y"]
