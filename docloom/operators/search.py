@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 ARM_LIMIT = 40
 RRF_K = 60
 DIMENSIONS = 384
+#: Scores rank on this many places: values that differ in a last bit only, by the order of a sum, count as ties.
+RANK_PLACES = 12
 #: Types that search covers and fields whose concepts, notes and names make a document's text (fixed values).
 SEARCHABLE = ("Patient", "Encounter", "Condition", "Observation", "MedicationRequest", "AllergyIntolerance", "Procedure", "DocumentReference")
 CONCEPT_FIELDS = ("code", "medicationCodeableConcept", "type", "clinicalStatus", "category")
@@ -72,7 +74,7 @@ def lexical_arm(frame: DataFrame, key: str, text: str, query: str, limit: int =
     counts = [_occurrences(t) for t in terms]
     counted = cheap.select(key, words(F.col(text)).alias("__w")).select(key, *[c.alias(f"__c{i}") for i, c in enumerate(counts)])
     score = sum((F.log(F.lit(1.0) + F.col(f"__c{i}")) for i in range(1, len(terms))), F.log(F.lit(1.0) + F.col("__c0")))
-    found = counted.filter(" and ".join(f"__c{i} > 0" for i in range(len(terms)))).select(key, score.alias("score"))
+    found = counted.filter(" and ".join(f"__c{i} > 0" for i in range(len(terms)))).select(key, F.round(score, RANK_PLACES).alias("score"))
     return _ranked(found.orderBy(F.desc("score"), key).limit(limit), F.desc("score"), key).withColumn("score", F.round("score", 6))
 
 
@@ -91,7 +93,7 @@ def vector_arm(frame: DataFrame, key: str, embedding: str, query: list[float], l
     norm = F.lit(sum(float(x) ** 2 for x in query) ** 0.5)
     products = F.zip_with(embedding, target, lambda p, q: F.struct((p.cast("double") * q).alias("d"), (p.cast("double") * p.cast("double")).alias("s")))
     sums = F.aggregate(products, F.struct(F.lit(0.0).alias("d"), F.lit(0.0).alias("s")), lambda a, v: F.struct((a["d"] + v["d"]).alias("d"), (a["s"] + v["s"]).alias("s")))
-    found = frame.select(key, sums.alias("__s")).select(key, (F.lit(1.0) - F.try_divide(F.col("__s.d"), F.sqrt("__s.s") * norm)).alias("dist")).filter("dist is not null")
+    found = frame.select(key, sums.alias("__s")).select(key, F.round(F.lit(1.0) - F.try_divide(F.col("__s.d"), F.sqrt("__s.s") * norm), RANK_PLACES).alias("dist")).filter("dist is not null")
     return _ranked(found.orderBy("dist", key).limit(limit), F.asc("dist"), key).withColumn("dist", F.round("dist", 6))
 
 

@@ -165,8 +165,8 @@ def text_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part.select("p_partkey", search.document_text(F.to_variant_object(doc)).alias("content_text"))
 
 
-_LEX = """SELECT doc_id, score, CAST(row_number() OVER (ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM (
-  SELECT doc_id, round(ln(1 + len(list_filter(w, lambda x: x = 'the'))) + ln(1 + len(list_filter(w, lambda x: x = 'tion'))), 6) AS score
+_LEX = """SELECT doc_id, round(score, 6) AS score, CAST(row_number() OVER (ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM (
+  SELECT doc_id, round(ln(1 + len(list_filter(w, lambda x: x = 'the'))) + ln(1 + len(list_filter(w, lambda x: x = 'tion'))), 12) AS score
   FROM (SELECT doc_id, regexp_split_to_array(lower(text), '[^a-z0-9]+') AS w FROM documents)
   WHERE list_contains(w, 'the') AND list_contains(w, 'tion') ORDER BY score DESC, doc_id LIMIT 40)"""
 
@@ -185,8 +185,8 @@ def hashed_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("weight", F.round("weight", 6))
 
 
-_VEC = """SELECT vec_id, dist, CAST(row_number() OVER (ORDER BY dist, vec_id) AS INTEGER) AS rank FROM (
-  SELECT e.vec_id, round(1 - list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS dist
+_VEC = """SELECT vec_id, round(dist, 6) AS dist, CAST(row_number() OVER (ORDER BY dist, vec_id) AS INTEGER) AS rank FROM (
+  SELECT e.vec_id, round(1 - list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 12) AS dist
   FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 5) q ORDER BY dist, e.vec_id LIMIT 40)"""
 
 
