@@ -32,8 +32,7 @@ from docloom.llm.tokens import END_ID, default_vocabulary, word_tokens
 #: Ids below this are terminals; nonterminal k is FIRST_RULE + k.
 FIRST_RULE = 1 << 17
 SHARD_BYTES = 6 << 20
-_SLOTS = 1 << 20
-_SHIFT = np.uint32(12)
+_SLOT_BITS = 20
 _MIX = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B))
 _NULL_ID = -(1 << 63)
 _HEAD = struct.Struct("<4sQQQQ")
@@ -46,8 +45,9 @@ def ordered(docs: DataFrame, target_bytes: int) -> DataFrame:
     return docs.repartitionByRange(partitions_for(docs, "text", target_bytes), F.col("doc_id"), tie).sortWithinPartitions("doc_id", tie)
 
 
-def _replaced(ids: np.ndarray, pair_of: np.ndarray, hit: np.ndarray) -> np.ndarray:
-    """Replace the hits (positions of pairs), taking overlapping ones from the left; pair_of gives each the new symbol."""
+def _replaced(ids: np.ndarray, pair_of: np.ndarray, hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Replace the hits (positions of pairs), taking overlapping ones from the left; pair_of gives each the new symbol.
+    Also the places of the new symbols. A hit that is not taken shares an id with the one before it, so it is gone too."""
     if len(hit) > 1:
         fresh = np.empty(len(hit), dtype=bool)  # runs of touching hits: every second one from a run's start
         fresh[0] = True
@@ -58,46 +58,65 @@ def _replaced(ids: np.ndarray, pair_of: np.ndarray, hit: np.ndarray) -> np.ndarr
     ids[hit] = pair_of
     keep = np.ones(len(ids), dtype=bool)
     keep[hit + 1] = False
-    return ids[keep]
+    return ids[keep], hit - np.arange(len(hit))
 
 
 def repair(ids: np.ndarray, least: int = 8, per_round: int = 32768) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols and rules (k, 2) of a Re-Pair grammar of ids; the end id stands in no rule."""
+    """Symbols and rules (k, 2) of a Re-Pair grammar of ids; the end id stands in no rule.
+
+    Two old symbols that are neighbours were neighbours before, so a round that replaced every pair worth it leaves only
+    pairs with a new symbol to count: the next round looks at the places next to new symbols and nowhere else."""
     ids = ids.astype(np.uint32)
     rules: list[np.ndarray] = []
     made = 0
+    where = None  # positions of the pairs to count; None: all
+    ranked = True  # False: no ranking by slots, because the best slots held only pairs that don't pay
     while len(ids) > 1:
-        left, right = ids[:-1], ids[1:]
-        slots = ((left * _MIX[0]) ^ right) * _MIX[1] >> _SHIFT
-        slots[(left == END_ID) | (right == END_ID)] = _SLOTS
-        counts = np.bincount(slots, minlength=_SLOTS + 1)[:_SLOTS]
+        left, right = (ids[:-1], ids[1:]) if where is None else (ids[where], ids[where + 1])
+        n_slots = 1 << min(_SLOT_BITS, len(left).bit_length())
+        slots = ((left * _MIX[0]) ^ right) * _MIX[1] >> np.uint32(33 - n_slots.bit_length())
+        slots[(left == END_ID) | (right == END_ID)] = n_slots
+        counts = np.bincount(slots, minlength=n_slots + 1)[:n_slots]
         # Pairs are ranked by the counts of their slots first; a slot's pairs are then counted apart, exactly: one of
         # them by the slot, the others by sorting.
-        floor = max(least, int(np.partition(counts, -per_round)[-per_round]))
+        floor = max(least, int(np.partition(counts, -per_round)[-per_round])) if ranked and n_slots > per_round else least
         often = np.flatnonzero(np.append(counts >= floor, False)[slots])
         if not len(often):
             break
         at = slots[often]
         keys = (left[often].astype(np.int64) << 32) | right[often]
-        holder = np.zeros(_SLOTS, dtype=np.int64)
+        holder = np.zeros(n_slots, dtype=np.int64)
         holder[at] = keys
         own = holder[at] == keys
-        own_times = np.bincount(at[own], minlength=_SLOTS)
+        own_times = np.bincount(at[own], minlength=n_slots)
         own_slots = np.flatnonzero(own_times)
         others, which, other_times = np.unique(keys[~own], return_inverse=True, return_counts=True)
         pairs, times = np.concatenate([holder[own_slots], others]), np.concatenate([own_times[own_slots], other_times])
-        best = np.lexsort((pairs, -times))[:per_round]
+        best = np.lexsort((pairs, -times))
         best = best[times[best] >= least]
+        whole = floor == least and len(best) <= per_round
+        best = best[:per_round]
+        if not len(best) and floor > least:
+            ranked = False
+            continue
         if not len(best):
             break
+        ranked = True
         number = np.full(len(pairs), -1, dtype=np.int64)
         number[best] = FIRST_RULE + made + np.arange(len(best))
-        of_slot = np.full(_SLOTS, -1, dtype=np.int64)
+        of_slot = np.full(n_slots, -1, dtype=np.int64)
         of_slot[own_slots] = number[: len(own_slots)]
         symbol = of_slot[at]
         symbol[~own] = number[len(own_slots) :][which]
         chosen = symbol >= 0
-        ids = _replaced(ids, symbol[chosen], often[chosen])
+        hit = often[chosen] if where is None else where[often[chosen]]
+        ids, new = _replaced(ids, symbol[chosen], hit)
+        where = None
+        if whole:
+            mark = np.zeros(len(ids), dtype=bool)
+            mark[new] = True
+            mark[new[new > 0] - 1] = True
+            where = np.flatnonzero(mark[:-1])
         rules.append(np.stack([pairs[best] >> 32, pairs[best] & 0xFFFFFFFF], axis=1))
         made += len(best)
     table = np.concatenate(rules) if rules else np.empty((0, 2), dtype=np.int64)
