@@ -131,21 +131,40 @@ def symbol_sizes(symbols: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return sizes
 
 
+def rule_levels(rules: np.ndarray) -> list[np.ndarray]:
+    """The rules' numbers by level: both parts of a rule are terminals or rules of lower levels."""
+    of = rules.astype(np.int64) - FIRST_RULE
+    done = np.zeros(len(of) + 1, dtype=bool)
+    done[-1] = True  # stands for all terminals
+    of[of < 0] = len(of)
+    levels = []
+    rest = np.arange(len(of))
+    while len(rest):
+        ready = done[of[rest]].all(axis=1)
+        if not ready.any():
+            raise ValueError("rules that contain themselves")
+        levels.append(rest[ready])
+        done[rest[ready]] = True
+        rest = rest[~ready]
+    return levels
+
+
 class Grammar:
     """Expansions of all rules, for decoding any range of symbols."""
 
     def __init__(self, rules: np.ndarray, lengths: np.ndarray):
         self.lengths, self.starts = lengths.astype(np.int64), np.concatenate([[0], np.cumsum(lengths.astype(np.int64))])
         self.flat = np.empty(int(self.starts[-1]), dtype="<u4")
-        for k, (a, b) in enumerate(rules.tolist()):
-            at = int(self.starts[k])
-            for part in (a, b):
-                if part >= FIRST_RULE:
-                    s, n = int(self.starts[part - FIRST_RULE]), int(self.lengths[part - FIRST_RULE])
-                    self.flat[at : at + n] = self.flat[s : s + n]
-                else:
-                    self.flat[at], n = part, 1
-                at += n
+        for level in rule_levels(rules):
+            parts = rules[level].astype(np.int64).ravel()
+            sizes = symbol_sizes(parts, self.lengths)
+            to = np.repeat(self.starts[level], 2)
+            to[1::2] += sizes[::2]
+            rule = parts >= FIRST_RULE
+            self.flat[to[~rule]] = parts[~rule]
+            to, n, source = to[rule], sizes[rule], self.starts[parts[rule] - FIRST_RULE]
+            within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            self.flat[np.repeat(to, n) + within] = self.flat[np.repeat(source, n) + within]
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:
         symbols = symbols.astype(np.int64)
@@ -159,8 +178,8 @@ class Grammar:
 
 def rule_lengths(rules: np.ndarray) -> np.ndarray:
     lengths = np.ones(len(rules), dtype=np.int64)
-    for k, (a, b) in enumerate(rules.tolist()):
-        lengths[k] = sum(lengths[p - FIRST_RULE] if p >= FIRST_RULE else 1 for p in (a, b))
+    for level in rule_levels(rules):
+        lengths[level] = symbol_sizes(rules[level].ravel().astype(np.int64), lengths).reshape(-1, 2).sum(axis=1)
     return lengths.astype("<u4")
 
 
