@@ -1,7 +1,7 @@
 import hashlib
 import math
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -175,3 +175,18 @@ def test_shots():
 @pytest.mark.parametrize("operator", [token_output.token_files, packing.packed, sharding.sharded, lambda d: media.media_features(media.stored(d))])
 def test_empty_tables(empty, operator):
     assert operator(empty).count() == 0
+
+
+@pytest.mark.parametrize("per_round", [3, 40, 32768])
+def test_rounds_of_any_size_leave_no_pair_that_pays(per_round):
+    ids = np.random.default_rng(1).integers(3, 40, 3000).astype("<u4")
+    symbols, rules = token_output.repair(ids, least=3, per_round=per_round)
+    assert np.array_equal(token_output.Grammar(rules, token_output.rule_lengths(rules)).expand(symbols), ids)
+    left = symbols.tolist()
+    assert max(Counter(zip(left, left[1:], strict=False)).values()) < 3
+
+
+def test_rules_that_contain_themselves_are_refused():
+    first = token_output.FIRST_RULE
+    with pytest.raises(ValueError):
+        token_output.rule_lengths(np.array([[first, 5]], dtype="<u4"))
