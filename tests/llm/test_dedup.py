@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docloom.llm import line_dedup, linkage, near_dedup, substring_dedup
-from docloom.llm.common import Cuts
+from docloom.llm.common import Cuts, hashed_words
 from docloom.llm.linkage import components
 from tests.llm.conftest import prose
 
@@ -260,3 +260,63 @@ def test_passages_equal_brute_force(spark):
             k = r["doc_id"]
             assert {w for a, b in r["spans"] for w in range(a, b)} == covered(k)
             assert set(r["cluster_ids"]) == {first[b] for b, _, _ in held[k] if first[b] != k}
+
+
+def by_all_pairs(rows):
+    """Words of each document that repeat in any earlier one, each pair of documents aligned at all runs both hold."""
+    rows = sorted(rows)
+    hashes, starts = hashed_words(pa.array([t for _, t in rows]))
+    own = [hashes[a:b] for a, b in zip(starts, starts[1:], strict=False)]
+    runs = [{} for _ in own]
+    for k, h in enumerate(own):
+        for place, key in zip(*(x.tolist() for x in substring_dedup.bands(h)[:2]), strict=True):
+            runs[k].setdefault(key, []).append(place)
+    out = {}
+    for k, (doc, _) in enumerate(rows):
+        out[doc] = set()
+        for j in range(k):
+            seeds = [(p, q) for key in runs[k].keys() & runs[j].keys() for p in runs[k][key] for q in runs[j][key]]
+            for a, b in substring_dedup.repeats(own[k], own[j], [p for p, _ in seeds], [q for _, q in seeds]):
+                out[doc] |= set(range(a, b))
+    return out
+
+
+@pytest.mark.parametrize(("phrase", "sure"), [(10, 3), (14, 0), (19, 0), (12, 30)])
+def test_each_repeat_is_found_however_many_hold_its_run(spark, phrase, sure):
+    """Phrases too short for a repeat stand in most documents; passages around one repeat in some, also with an edit beside it."""
+    random, rows, planted = np.random.default_rng(100 * phrase + sure), [], {}
+    phrases = [prose(210_000 + 50 * phrase + k, phrase).split(" ") for k in range(3)]
+    passages = [[prose(220_000 + 100 * phrase + 2 * k + j, int(random.integers(9, 40))).split(" ") for j in range(2)] for k in range(12)]
+    for k in range(150):
+        words = prose(230_000 + 200 * phrase + k, int(random.integers(1, 30))).split(" ")
+        for j in range(3):
+            around = [prose(240_000 + 10 * k + 2 * j + i, int(random.integers(3, 30))).split(" ") for i in range(2)]
+            if k % 3 and k > sure:
+                before, after = passages[4 * j + int(random.integers(0, 4))]
+                edits = int(random.integers(0, 4))
+                before = [*before[:-2], f"edit{k}", before[-1]] if edits & 1 else before
+                after = [after[0], f"edit{k}", *after[1:]] if edits & 2 else after
+                around = [[*around[0], *before], [*after, *around[1]]]
+            words += [*around[0], *phrases[j], *around[1]]
+        rows.append((k, " ".join(words)))
+    expected = by_all_pairs(rows)
+    for partitions in (1, 9):
+        found = substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(partitions)).collect()
+        gone = {r["doc_id"]: {w for a, b in r["spans"] for w in range(a, b)} for r in found}
+        assert {k for k in gone if gone[k]} == {k for k in expected if expected[k]}
+        assert sum(len(expected[k] - gone[k]) for k in gone) == 0
+        assert all(r["kept_doc_ids"] and r["cluster_ids"] and max(r["kept_doc_ids"]) < r["doc_id"] for r in found if r["spans"])
+
+
+def test_a_run_shared_by_chance_hides_no_repeat(spark):
+    passage = [prose(250_002, 9), prose(250_003, 9)]
+    for k in range(1000):  # a run that is the smallest of all runs of its passage, so the passage has no other
+        run = prose(251_000 + k, 10)
+        whole = f"{passage[0]} {run} {passage[1]}"
+        if substring_dedup.bands(hashed_words(pa.array([whole]))[0])[0].tolist() == [9]:
+            break
+    rows = [(1, f"{prose(250_004, 40)} {run} {prose(250_005, 40)}"), (2, f"{prose(250_006, 15)} {whole} {prose(250_007, 9)}"), (3, f"{prose(250_008, 5)} {run} {prose(250_009, 50)} {whole}")]
+    rows += [(5, None), (6, ""), (7, run), (8, run)]
+    found = {r["doc_id"]: r for r in substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found[3]["spans"] == [[65, 93]] and found[3]["kept_doc_ids"] == [2] and found[3]["cluster_ids"] == [2]
+    assert all(found[k]["n_removed"] == 0 for k in (1, 2, 5, 6, 7, 8))
