@@ -3,8 +3,8 @@
 The categories stand in a fixed order (low quality, toxic, severe: toxic and low in quality). Each has a logistic
 regression on the words that tell it apart in the training sample, and from the second on also on the log-odds of
 the categories before it. In training those come from models of the other folds, so a later model sees them as
-noisy as they are on new texts. The sample is at most TRAIN_ROWS labelled rows, those of smallest hash of doc_id;
-prediction covers every document and its whole text.
+noisy as they are on new texts. The sample is at most TRAIN_ROWS labelled rows, those of smallest hash of doc_id; one
+task gathers and fits it, so the driver holds the weights alone. Prediction covers every document and its whole text.
 
 Words are runs of letters, digits and non-ASCII bytes, A-Z lower-cased; a word of more than STEM bytes also counts as
 its first STEM bytes, so that inflected forms share a feature. Null and empty texts have no words and get
@@ -13,6 +13,7 @@ the intercepts' probabilities. Without labels, or with one class only, a categor
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,6 +34,8 @@ SIGNIFICANT = 15.0
 MOST = 500
 LEAST_DOCS = 3
 STEM = 5
+#: Training rows that are spread out as floating-point numbers at once.
+FIT_ROWS = 512
 
 
 def features_of(text: bytes | None) -> set[bytes]:
@@ -44,17 +47,31 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, steps: int = 25) -> np.ndarray:
-    """Weights with the intercept last, by Newton's method; the classes weigh the same."""
-    x = np.hstack([x, np.ones((len(x), 1))])
+def _blocks(present: np.ndarray, earlier: np.ndarray) -> Iterator[tuple[slice, np.ndarray]]:
+    """The rows in blocks of numbers, with a column of ones last."""
+    for begin in range(0, len(present), FIT_ROWS):
+        own = slice(begin, begin + FIT_ROWS)
+        yield own, np.hstack([present[own].astype(float), earlier[own], np.ones((len(earlier[own]), 1))])
+
+
+def _odds(present: np.ndarray, earlier: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.empty(0), *[x @ w for _, x in _blocks(present, earlier)]])
+
+
+def fit_logistic(present: np.ndarray, earlier: np.ndarray, y: np.ndarray, penalty: float = 1.0, steps: int = 25) -> np.ndarray:
+    """Weights of the words' presence (0 or 1), of the columns before and of the intercept, by Newton's method; the classes
+    weigh the same."""
+    width = present.shape[1] + earlier.shape[1] + 1
     weight = np.where(y > 0, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum())) * len(y)
-    ridge = np.full(x.shape[1], penalty)
+    ridge = np.full(width, penalty)
     ridge[-1] = 1e-3
-    w = np.zeros(x.shape[1])
+    w = np.zeros(width)
     for _ in range(steps):
-        p = _sigmoid(x @ w)
-        gradient = x.T @ (weight * (p - y)) + ridge * w
-        hessian = (x * (weight * np.maximum(p * (1 - p), 1e-4))[:, None]).T @ x + np.diag(ridge)
+        gradient, hessian = ridge * w, np.diag(ridge)
+        for own, x in _blocks(present, earlier):
+            p = _sigmoid(x @ w)
+            gradient += x.T @ (weight[own] * (p - y[own]))
+            hessian += (x * (weight[own] * np.maximum(p * (1 - p), 1e-4))[:, None]).T @ x
         move = np.linalg.solve(hessian, gradient)
         w -= move * min(1.0, 5.0 / (np.abs(move).max() + 1e-12))
         if np.abs(move).max() < 1e-4:
@@ -83,23 +100,36 @@ class Chain:
         return out
 
 
-def _chosen(docs: list[np.ndarray], y: np.ndarray) -> np.ndarray:
-    """The words whose presence depends most on the category."""
-    flat = np.concatenate(docs) if docs else np.empty(0, np.uint64)
-    words, which = np.unique(flat, return_inverse=True)
-    owner = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
+def _numbered(docs: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The distinct words in order, and each document's as their numbers."""
+    flat = np.concatenate([np.empty(0, np.uint64), *docs])
+    flat.sort()
+    words = flat[np.append(True, flat[1:] != flat[:-1])[: len(flat)]]
+    return words, [np.searchsorted(words, d).astype(np.int32) for d in docs]
+
+
+def _holders(docs: list[np.ndarray], count: int) -> np.ndarray:
+    """How many documents hold each word."""
+    total = np.zeros(count)
+    for d in docs:
+        total[d] += 1
+    return total
+
+
+def _chosen(docs: list[np.ndarray], y: np.ndarray, count: int) -> np.ndarray:
+    """The words (numbers under count) whose presence depends most on the category."""
     n, positive = len(docs), y.sum()
-    df = np.bincount(which, minlength=len(words)).astype(float)
-    a = np.bincount(which, weights=y[owner], minlength=len(words))
+    df = _holders(docs, count)
+    a = _holders([d for d, t in zip(docs, y, strict=True) if t], count)
     b, c = df - a, positive - a
     d = n - positive - b
     chi = n * (a * d - b * c) ** 2 / np.maximum(1e-9, df * (n - df) * positive * (n - positive))
     best = np.argsort(-chi, kind="stable")[:MOST]
-    return np.sort(words[best[(chi[best] > SIGNIFICANT) & (df[best] >= LEAST_DOCS)]])
+    return np.sort(best[(chi[best] > SIGNIFICANT) & (df[best] >= LEAST_DOCS)])
 
 
 def _matrix(docs: list[np.ndarray], words: np.ndarray) -> np.ndarray:
-    x = np.zeros((len(docs), len(words)))
+    x = np.zeros((len(docs), len(words)), dtype=np.uint8)
     if len(words):
         for k, d in enumerate(docs):
             at = np.minimum(np.searchsorted(words, d), len(words) - 1)
@@ -109,6 +139,7 @@ def _matrix(docs: list[np.ndarray], words: np.ndarray) -> np.ndarray:
 
 def fit_chain(docs: list[np.ndarray], labels: np.ndarray) -> Chain:
     """docs: distinct word hashes; labels: one 0/1 column for each category."""
+    hashes, docs = _numbered(docs)
     earlier = np.zeros((len(docs), 0))
     links = []
     fold = np.arange(len(docs)) % FOLDS
@@ -119,25 +150,24 @@ def fit_chain(docs: list[np.ndarray], labels: np.ndarray) -> Chain:
             links.append(Link({}, np.zeros(earlier.shape[1]), constant))
             earlier = np.hstack([earlier, np.full((len(docs), 1), constant / 4)])
             continue
-        words = _chosen(docs, y)
-        x = np.hstack([_matrix(docs, words), earlier])
-        w = fit_logistic(x, y)
-        links.append(Link(dict(zip(words.tolist(), w[: len(words)].tolist(), strict=True)), w[len(words) : -1], float(w[-1])))
+        words = _chosen(docs, y, len(hashes))
+        w = fit_logistic(_matrix(docs, words), earlier, y)
+        links.append(Link(dict(zip(hashes[words].tolist(), w[: len(words)].tolist(), strict=True)), w[len(words) : -1], float(w[-1])))
         unseen = np.zeros(len(docs))
         for f in range(FOLDS):
             train = fold != f
             if y[train].min() == y[train].max():
                 continue
-            inner = _chosen([d for d, t in zip(docs, train, strict=True) if t], y[train])
-            xf = np.hstack([_matrix(docs, inner), earlier])
-            wf = fit_logistic(xf[train], y[train])
-            unseen[~train] = xf[~train] @ wf[:-1] + wf[-1]
+            seen, rest = ([d for d, t in zip(docs, train, strict=True) if t == side] for side in (True, False))
+            inner = _chosen(seen, y[train], len(hashes))
+            wf = fit_logistic(_matrix(seen, inner), earlier[train], y[train])
+            unseen[~train] = _odds(_matrix(rest, inner), earlier[~train], wf)
         earlier = np.hstack([earlier, np.clip(unseen, -8, 8)[:, None] / 4])
     return Chain(links)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_ROWS) -> tuple[list[np.ndarray], np.ndarray]:
-    """At most `bound` labelled documents as distinct word hashes, and their categories."""
+def training_rows(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_ROWS) -> DataFrame:
+    """At most `bound` labelled documents: doc_id, quality, toxic and words (the distinct hashes as uint64 bytes)."""
     known = labels.filter("quality is not null and toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
 
@@ -148,15 +178,26 @@ def training_rows(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_ROWS) -
 
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id")
     picked = picked.select("doc_id", F.col("quality").cast("long").alias("quality"), F.col("toxic").cast("long").alias("toxic"), "text")
-    rows = sorted(picked.mapInArrow(work, "doc_id long, quality long, toxic long, words binary").collect(), key=lambda r: (r["doc_id"], bytes(r["words"])))
-    sets = [np.frombuffer(bytes(r["words"]), dtype=np.uint64) for r in rows]
-    bad, toxic = np.array([r["quality"] == 0 for r in rows], dtype=int), np.array([r["toxic"] == 1 for r in rows], dtype=int)
-    return sets, np.stack([bad, toxic, bad * toxic], axis=1).reshape(len(rows), len(CATEGORIES))
+    return picked.mapInArrow(work, "doc_id long, quality long, toxic long, words binary")
 
 
 def toxicity_model(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_ROWS) -> Chain:
+    """The chain of the training rows, fitted in one task."""
     prepare(docs.sparkSession)
-    return fit_chain(*training_rows(docs, labels, bound))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets: list[np.ndarray] = []
+        marks = [np.zeros((0, 2), dtype=int)]
+        for batch in batches:
+            sets += [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in column(batch, "words")]
+            marks.append(np.stack([column(batch, "quality").to_numpy() == 0, column(batch, "toxic").to_numpy() == 1], axis=1).astype(int))
+        bad, toxic = np.concatenate(marks).T
+        chain = fit_chain(sets, np.stack([bad, toxic, bad * toxic], axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(chain)], pa.binary())], names=["chain"])
+
+    gathered = training_rows(docs, labels, bound).repartition(1).sortWithinPartitions("doc_id", "words")
+    found = gathered.mapInArrow(work, "chain binary").collect()
+    return pickle.loads(found[0]["chain"]) if found else fit_chain([], np.zeros((0, len(CATEGORIES)), dtype=int))
 
 
 class _Weights(dict):

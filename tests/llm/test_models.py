@@ -1,9 +1,11 @@
 import hashlib
 import itertools
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
+import xxhash
 
 import __spark_entry__
 from docloom.llm import decontaminate, langid, toxicity
@@ -125,6 +127,37 @@ def test_toxicity(spark, docs, empty):
     assert kept.columns == docs.columns and kept.count() == docs.count()
 
 
+def test_toxicity_training_stays_out_of_the_driver(spark, monkeypatch):
+    random = np.random.default_rng(3)
+    rows = [(k, " ".join(f"w{w}" for w in random.integers(0, 5000, 600)) + (" idiot" if k % 4 == 0 else "")) for k in range(400)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).cache()
+    labels = spark.createDataFrame([(k, k % 3, int(k % 4 == 0)) for k in range(400)], "doc_id long, quality long, toxic long")
+    table.count()
+    tracemalloc.start()
+    chain = toxicity.toxicity_model(table, labels)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 1_000_000  # the words of all training rows take over 1.5 MB
+    assert xxhash.xxh64_intdigest(b"idiot") in chain.links[1].words
+    sets = [np.array(sorted(xxhash.xxh64_intdigest(w) for w in toxicity.features_of(t.encode())), dtype=np.uint64) for _, t in rows]
+    bad, toxic = np.array([[k % 3 == 0, k % 4 == 0] for k in range(400)], dtype=int).T
+    for size in (7, 10_000):
+        monkeypatch.setattr(toxicity, "FIT_ROWS", size)
+        for own, other in zip(chain.links, toxicity.fit_chain(sets, np.stack([bad, toxic, bad * toxic], axis=1)).links, strict=True):
+            assert own.words.keys() == other.words.keys() and np.allclose(list(own.words.values()), list(other.words.values()))
+            assert np.allclose(own.earlier, other.earlier) and np.isclose(own.intercept, other.intercept)
+
+
+def test_fit_spreads_few_rows_at_once():
+    docs = [np.arange(k % 4, 1600, 4, dtype=np.uint64) for k in range(4000)]
+    labels = np.array([[k % 4 == 0, k % 8 < 4] for k in range(4000)], dtype=int)
+    tracemalloc.start()
+    chain = toxicity.fit_chain(docs, labels)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(chain.links[0].words) == toxicity.MOST and most < 40e6  # 4000 rows of 500 numbers alone are 16 MB, copied several times
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
