@@ -32,8 +32,6 @@ from docloom.llm.tokens import END_ID, default_vocabulary, word_tokens
 #: Ids below this are terminals; nonterminal k is FIRST_RULE + k.
 FIRST_RULE = 1 << 17
 SHARD_BYTES = 6 << 20
-_SLOT_BITS = 20
-_MIX = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B))
 _NULL_ID = -(1 << 63)
 _HEAD = struct.Struct("<4sQQQQ")
 
@@ -49,11 +47,11 @@ def _replaced(ids: np.ndarray, pair_of: np.ndarray, hit: np.ndarray) -> tuple[np
     """Replace the hits (positions of pairs), taking overlapping ones from the left; pair_of gives each the new symbol.
     Also the places of the new symbols. A hit that is not taken shares an id with the one before it, so it is gone too."""
     if len(hit) > 1:
-        fresh = np.empty(len(hit), dtype=bool)  # runs of touching hits: every second one from a run's start
-        fresh[0] = True
-        np.not_equal(np.diff(hit), 1, out=fresh[1:])
-        start = np.maximum.accumulate(np.where(fresh, np.arange(len(hit)), 0))
-        take = (np.arange(len(hit)) - start) % 2 == 0
+        # Of runs of touching hits every second one from a run's start.
+        start = np.flatnonzero(np.concatenate([[True], hit[1:] - hit[:-1] != 1]))
+        odd = np.zeros(len(hit), dtype=bool)
+        odd[1::2] = True
+        take = np.flatnonzero(odd == np.repeat(odd[start], np.diff(start, append=len(hit))))
         hit, pair_of = hit[take], pair_of[take]
     ids[hit] = pair_of
     keep = np.ones(len(ids), dtype=bool)
@@ -61,6 +59,25 @@ def _replaced(ids: np.ndarray, pair_of: np.ndarray, hit: np.ndarray) -> tuple[np
     return ids[keep], hit - np.arange(len(hit))
 
 
+def sorted_pairs(left: np.ndarray, right: np.ndarray, width: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of symbols of `width` bits (left << width | right) in ascending order, and the place of each.
+
+    One sort of pairs with their places in the low bits is much faster than a sort of the places by their pairs."""
+    keys = left.astype(np.uint64)
+    keys <<= width
+    keys |= right
+    below = np.uint64(len(keys).bit_length())
+    if 2 * width + below > 64:
+        places = np.argsort(keys, kind="stable")
+        return keys[places], places
+    keys <<= below
+    keys |= np.arange(len(keys), dtype=np.uint64)
+    keys.sort()
+    places = (keys & ((np.uint64(1) << below) - np.uint64(1))).view(np.int64)
+    keys >>= below
+    return keys, places
+
+
 def repair(ids: np.ndarray, least: int = 8, per_round: int = 32768) -> tuple[np.ndarray, np.ndarray]:
     """Symbols and rules (k, 2) of a Re-Pair grammar of ids; the end id stands in no rule.
 
@@ -70,54 +87,37 @@ def repair(ids: np.ndarray, least: int = 8, per_round: int = 32768) -> tuple[np.
     rules: list[np.ndarray] = []
     made = 0
     where = None  # positions of the pairs to count; None: all
-    ranked = True  # False: no ranking by slots, because the best slots held only pairs that don't pay
     while len(ids) > 1:
         left, right = (ids[:-1], ids[1:]) if where is None else (ids[where], ids[where + 1])
-        n_slots = 1 << min(_SLOT_BITS, len(left).bit_length())
-        slots = ((left * _MIX[0]) ^ right) * _MIX[1] >> np.uint32(33 - n_slots.bit_length())
-        slots[(left == END_ID) | (right == END_ID)] = n_slots
-        counts = np.bincount(slots, minlength=n_slots + 1)[:n_slots]
-        # Pairs are ranked by the counts of their slots first; a slot's pairs are then counted apart, exactly: one of
-        # them by the slot, the others by sorting.
-        floor = max(least, int(np.partition(counts, -per_round)[-per_round])) if ranked and n_slots > per_round else least
-        often = np.flatnonzero(np.append(counts >= floor, False)[slots])
-        if not len(often):
+        if not len(left):
             break
-        at = slots[often]
-        keys = (left[often].astype(np.int64) << 32) | right[often]
-        holder = np.zeros(n_slots, dtype=np.int64)
-        holder[at] = keys
-        own = holder[at] == keys
-        own_times = np.bincount(at[own], minlength=n_slots)
-        own_slots = np.flatnonzero(own_times)
-        others, which, other_times = np.unique(keys[~own], return_inverse=True, return_counts=True)
-        pairs, times = np.concatenate([holder[own_slots], others]), np.concatenate([own_times[own_slots], other_times])
-        best = np.lexsort((pairs, -times))
-        best = best[times[best] >= least]
-        whole = floor == least and len(best) <= per_round
-        best = best[:per_round]
-        if not len(best) and floor > least:
-            ranked = False
-            continue
+        width = np.uint64(int(ids.max()).bit_length())
+        low = (np.uint64(1) << width) - np.uint64(1)
+        keys, places = sorted_pairs(left, right, width)
+        starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        times = np.diff(starts, append=len(keys))
+        best = np.flatnonzero(times >= least)
+        pairs = keys[starts[best]]
+        free = (pairs >> width != END_ID) & (pairs & low != END_ID)
+        best, pairs = best[free], pairs[free]
         if not len(best):
             break
-        ranked = True
-        number = np.full(len(pairs), -1, dtype=np.int64)
+        whole = len(best) <= per_round
+        order = np.argsort(-times[best], kind="stable")[:per_round]  # the most frequent, smaller pairs first
+        best, pairs = best[order], pairs[order]
+        number = np.zeros(len(starts), dtype=np.uint32)
         number[best] = FIRST_RULE + made + np.arange(len(best))
-        of_slot = np.full(n_slots, -1, dtype=np.int64)
-        of_slot[own_slots] = number[: len(own_slots)]
-        symbol = of_slot[at]
-        symbol[~own] = number[len(own_slots) :][which]
-        chosen = symbol >= 0
-        hit = often[chosen] if where is None else where[often[chosen]]
-        ids, new = _replaced(ids, symbol[chosen], hit)
+        symbol = np.zeros(len(left), dtype=np.uint32)
+        symbol[places] = np.repeat(number, times)
+        chosen = np.flatnonzero(symbol)
+        ids, new = _replaced(ids, symbol[chosen], chosen if where is None else where[chosen])
         where = None
         if whole:
             mark = np.zeros(len(ids), dtype=bool)
             mark[new] = True
             mark[new[new > 0] - 1] = True
             where = np.flatnonzero(mark[:-1])
-        rules.append(np.stack([pairs[best] >> 32, pairs[best] & 0xFFFFFFFF], axis=1))
+        rules.append(np.stack([pairs >> width, pairs & low], axis=1))
         made += len(best)
     table = np.concatenate(rules) if rules else np.empty((0, 2), dtype=np.int64)
     return ids.astype("<u4"), table.astype("<u4")

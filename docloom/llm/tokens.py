@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterable
 from functools import lru_cache
-from itertools import filterfalse
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -27,21 +27,28 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 WORD_END = "</w>"
 
 
+def _places(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """begin, begin + 1, ... for each begin, as many as its size, one after another."""
+    before = np.cumsum(sizes) - sizes
+    return np.repeat(begins - before, sizes) + np.arange(int(sizes.sum()))
+
+
 class WordTokens:
-    """Ids of a text as little-endian uint32 bytes.
+    """Ids of texts.
 
     The file's pre-tokenizer drops white space and never joins across it, so the library encodes each run between
-    blanks alone and gives the ids of the whole text; runs are remembered in a dictionary of bounded size.
-    The pre-tokenizer also parts letters from signs. An unknown run of signs, Latin-1 letters and signs is therefore
-    the ids of its three parts; the letters, which NFC leaves alone, are lower-cased and go many at a time, parted by
-    blanks, to the library's model without the file's normalizer. The last id of a word ends with WORD_END. Signs that
-    could begin a contraction or a special token don't count as such, and all other runs go to the whole tokenizer.
+    blanks alone and gives the ids of the whole text. The pre-tokenizer also parts letters from signs: a run of signs,
+    Latin-1 letters and signs is the ids of its three parts, and the letters, which NFC leaves alone, are lower-cased.
+    Signs that could begin a contraction or a special token don't count as such; all other runs are one part. The ids of
+    parts are remembered in a table of bounded size. Unknown letters go many at a time, parted by blanks, to the library's
+    model without the file's normalizer (the last id of a word ends with WORD_END), other parts to the whole tokenizer.
     """
 
     LIMIT = 600_000
     LONG = 64
     TOGETHER = 500
-    SIGNS = "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
+    SIGNS = r"[!-&(-/:;=?@\[-`{}~]*"
+    PARTS = rf"^(?P<before>{SIGNS})(?P<letters>[A-Za-zªµºÀ-ÖØ-öø-ÿ]+)(?P<after>{SIGNS})$"
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
@@ -50,7 +57,7 @@ class WordTokens:
         kinds = [n["type"] for n in (file["normalizer"] or {}).get("normalizers", [])]
         splits = [p["pattern"].get("Regex") for p in (file["pre_tokenizer"] or {}).get("pretokenizers", []) if p["type"] == "Split"]
         self.by_run = kinds == NORMALIZERS and splits == [SPLIT] and file["model"].get("end_of_word_suffix") == WORD_END
-        self.known: dict[str, bytes] = {}
+        self._forget()
         if self.by_run:
             self.words = Tokenizer.from_file(path)
             self.words.normalizer = None
@@ -60,76 +67,73 @@ class WordTokens:
             self.ends_word = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
             self.ends_word[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
 
-    def _encode(self, parts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+    def _forget(self) -> None:
+        """Part k has the ids from bounds[k] up to bounds[k + 1]; the empty part has none."""
+        self.known, self.ids, self.bounds = {"": 0}, np.empty(0, dtype="<u4"), np.zeros(2, dtype=np.int64)
+
+    def _encode(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all parts, and how many each has, by the whole tokenizer."""
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+        return np.fromiter(chain.from_iterable(found), dtype="<u4", count=int(sizes.sum())), sizes
 
-    def _encode_words(self, words: list[str]) -> list[bytes]:
-        out: list[bytes] = []
+    def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same of lower-case words of letters."""
         joined = [" ".join(words[i : i + self.TOGETHER]) for i in range(0, len(words), self.TOGETHER)]
-        for found in self.words.encode_batch_fast(joined, add_special_tokens=False):
-            ids = np.asarray(found.ids, dtype="<u4")
-            raw, at = ids.tobytes(), (4 * np.flatnonzero(self.ends_word[ids]) + 4).tolist()
-            out += [raw[p:q] for p, q in zip([0, *at[:-1]], at, strict=True)]
-        return out
-
-    def _learn(self, runs: set[str]) -> dict[str, bytes]:
-        """Remember the ids of new runs; those of long ones are returned instead."""
-        known, signs = self.known, self.SIGNS
-        parted, lowered, other = [], [], []
-        for run in runs:
-            word = run.strip(signs)
-            if word.isalpha() and len(run) <= self.LONG and (word.isascii() or max(word) <= "\xff"):
-                parted.append(run)
-                lowered.append(word.lower())
-            else:
-                other.append(run)
-        letters = list(set(filterfalse(known.__contains__, lowered)))
-        known.update(zip(letters, self._encode_words(letters) if letters else [], strict=True))
-        short = [run for run in other if len(run) <= self.LONG]
-        known.update(zip(short, self._encode(short) if short else [], strict=True))
-        for run, lower in zip(parted, lowered, strict=True):
-            ids = known[lower]
-            if len(lower) != len(run):
-                rest = run.lstrip(signs)
-                ids = self._signs(run[: len(run) - len(rest)]) + ids + self._signs(rest[len(lower) :])
-            known[run] = ids
-        long = [run for run in other if len(run) > self.LONG]
-        return dict(zip(long, self._encode(long) if long else [], strict=True))
-
-    def _signs(self, part: str) -> bytes:
-        if part not in self.known:
-            self.known[part] = self._encode([part])[0]
-        return self.known[part]
+        ids = np.concatenate([np.empty(0, "<u4"), *(np.asarray(e.ids, dtype="<u4") for e in self.words.encode_batch_fast(joined, add_special_tokens=False))])
+        sizes = np.diff(np.flatnonzero(self.ends_word[ids]), prepend=-1)
+        if len(sizes) != len(words) or int(sizes.sum()) != len(ids):
+            raise ValueError("ids of words that don't end with them")
+        return ids, sizes
+
+    def _parts(self, runs: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where the ids of each distinct run's three parts begin and how many they are (a row a run), and all ids."""
+        split = pc.extract_regex(runs, self.PARTS)
+        whole = pc.or_(pc.is_null(split), pc.greater(pc.utf8_length(runs), self.LONG))
+        before, letters, after = (pc.if_else(whole, "", pc.struct_field(split, k)) for k in range(3))
+        coded = pa.concat_arrays([before, pc.if_else(whole, runs, pc.utf8_lower(letters)), after]).dictionary_encode()
+        parts = coded.dictionary.to_numpy(zero_copy_only=False).tolist()  # much faster than to_pylist
+        if len(self.known) > self.LIMIT:
+            self._forget()
+        number = np.fromiter(map(self.known.get, parts, repeat(-1)), dtype=np.int64, count=len(parts))
+        ids, bounds = self.ids, self.bounds
+        gaps = np.flatnonzero(number < 0).tolist()
+        if gaps:
+            words, short, long = [], [], []
+            for k in gaps:
+                part = parts[k]
+                if len(part) > self.LONG:
+                    long.append(k)
+                else:  # letters of a short run are in lower case already
+                    (words if part.isalpha() and (part.isascii() or max(part) <= "\xff") else short).append(k)
+            found = [f([parts[k] for k in some]) for f, some in ((self._encode_words, words), (self._encode, short), (self._encode, long)) if some]
+            first = len(bounds) - 1
+            number[[*words, *short, *long]] = np.arange(first, first + len(gaps))
+            ids = np.concatenate([ids, *(i for i, _ in found)])
+            bounds = np.concatenate([bounds, bounds[-1] + np.cumsum(np.concatenate([n for _, n in found]))])
+            kept = first + len(words) + len(short)  # long parts are not remembered
+            self.known.update(zip((parts[k] for k in chain(words, short)), range(first, kept), strict=True))
+            self.ids, self.bounds = ids[: bounds[kept]], bounds[: kept + 1]
+        codes = number[coded.indices.to_numpy()].reshape(3, -1).T
+        return bounds[codes], bounds[codes + 1] - bounds[codes], ids
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in order, and how many each text has. A null text has none.
 
-        Each distinct run of a batch is looked up once; the rest is Arrow and numpy."""
+        Each distinct run of a batch is parted once and each distinct part looked up once; the rest is Arrow and numpy."""
         texts = pc.fill_null(texts.cast(pa.string()), "")
         if not self.by_run:
-            parts = self._encode(texts.to_pylist())
-            return np.frombuffer(b"".join(parts), dtype="<u4"), np.array([len(p) // 4 for p in parts], dtype=np.int64)
+            return self._encode(texts.to_pylist())
         lists = pc.ascii_split_whitespace(texts)
         coded = lists.flatten().dictionary_encode()
-        runs = coded.dictionary.to_numpy(zero_copy_only=False).tolist()  # much faster than to_pylist
-        known = self.known
-        if len(known) > self.LIMIT:
-            known.clear()
-        known[""] = b""
-        parts = list(map(known.get, runs))
-        gaps = [k for k, ids in enumerate(parts) if ids is None]
-        once = self._learn({runs[k] for k in gaps}) if gaps else {}
-        for k in gaps:
-            ids = known.get(runs[k])
-            parts[k] = once[runs[k]] if ids is None else ids
-        sizes = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) // 4
-        begins = np.cumsum(sizes) - sizes
+        begins, sizes, ids = self._parts(coded.dictionary)
+        of_runs = ids[_places(begins.ravel(), sizes.ravel())]
+        sizes = sizes.sum(axis=1)
         codes = coded.indices.to_numpy()
         n = sizes[codes]
         before = np.concatenate([[0], np.cumsum(n)])
-        at = np.repeat(begins[codes] - before[:-1], n) + np.arange(int(before[-1]))
         bounds = before[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
-        return np.frombuffer(b"".join(parts), dtype="<u4")[at], np.diff(bounds)
+        return of_runs[_places((np.cumsum(sizes) - sizes)[codes], n)], np.diff(bounds)
 
     def stream(self, texts: Iterable[pa.Array]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts with the end id after each, and the lengths of the texts with it."""

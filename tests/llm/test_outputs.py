@@ -190,3 +190,41 @@ def test_rules_that_contain_themselves_are_refused():
     first = token_output.FIRST_RULE
     with pytest.raises(ValueError):
         token_output.rule_lengths(np.array([[first, 5]], dtype="<u4"))
+
+
+def test_case_and_signs_share_what_is_remembered():
+    tokens, plain = WordTokens(default_vocabulary()), Tokenizer.from_file(default_vocabulary())
+    text = "Birch birch, (BIRCH) birch. \"birch\" Été, été ÉTÉ; don't 3rd"
+    ids, counts = tokens.encode(pa.array([text, None, "birch!"]))
+    expected = [plain.encode(t, add_special_tokens=False).ids for t in (text, "birch!")]
+    assert ids.tolist() == sum(expected, []) and counts.tolist() == [len(expected[0]), 0, len(expected[1])]
+    assert set(tokens.known) == {"", "birch", "été", ",", "(", ")", ".", '"', ";", "!", "don't", "3rd"}
+
+
+def test_a_full_table_begins_anew():
+    tokens, plain = WordTokens(default_vocabulary()), Tokenizer.from_file(default_vocabulary())
+    tokens.LIMIT = 30
+    random = np.random.default_rng(8)
+    words = [*("".join(random.choice(list("abÀé漢"), 3)) for _ in range(60)), "x" * 70, "(" * 65 + "A", "Ab" * 32, "Ab" * 32 + ".", "https://a.b/" + "q1" * 40, "-", "漢字" * 50]
+    for _ in range(40):
+        texts = [" ".join(random.choice(words, random.integers(0, 12))) for _ in range(3)]
+        expected = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+        ids, counts = tokens.encode(pa.array(texts))
+        assert ids.tolist() == sum(expected, []) and counts.tolist() == list(map(len, expected))
+        assert len(tokens.known) == len(tokens.bounds) - 1 and max(map(len, tokens.known)) <= tokens.LONG and tokens.bounds[-1] == len(tokens.ids)
+
+
+@pytest.mark.parametrize("width", [7, 32])
+def test_pairs_are_sorted_with_their_places(width):
+    left, right = np.random.default_rng(2).integers(1 << width - 1, (1 << width - 1) + 60, (2, 5000)).astype(np.uint32)
+    keys, places = token_output.sorted_pairs(left, right, np.uint64(width))
+    pairs = list(zip(left.tolist(), right.tolist(), strict=True))
+    assert places.tolist() == sorted(range(len(pairs)), key=lambda k: (pairs[k], k))
+    assert keys.tolist() == [pairs[k][0] << width | pairs[k][1] for k in places.tolist()]
+
+
+def test_equal_counts_take_the_smaller_pair_first():
+    ids = np.array([9, 8, 2, 5, 6, 2, 5, 6, 2, 9, 8, 2, 7, 7, 7, 7, 7, 2, 7], dtype="<u4")
+    symbols, rules = token_output.repair(ids, least=2, per_round=2)
+    assert rules.tolist() == [[7, 7], [5, 6], [9, 8]]
+    assert np.array_equal(token_output.Grammar(rules, token_output.rule_lengths(rules)).expand(symbols), ids)
